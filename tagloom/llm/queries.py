@@ -6,14 +6,23 @@ import hashlib
 
 import numpy as np
 
-from tagloom.llm import bpe, licenses, secrets
+from tagloom.llm import bpe, decontamination, licenses, secrets, toxicity
 from tagloom.llm.common import load
 
 
+def op2_toxicity(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train(docs, load(spark, sf_dir, "labels")))
+
+
 def op4_secret_scans(spark, sf_dir):
     return secrets.find_secrets(load(spark, sf_dir, "documents"), emit=(secrets.DIGEST_DDL, secrets.digest))
 
 
+def op7_decontamination(spark, sf_dir):
+    return decontamination.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op8_license_scans(spark, sf_dir):
     return licenses.find_licenses(load(spark, sf_dir, "documents"), emit=(licenses.DIGEST_DDL, licenses.digest))
 
@@ -25,5 +34,5 @@ def op9_bpe(spark, sf_dir):
     return bpe.encode_texts(load(spark, sf_dir, "documents"), emit=("n_tokens long, ids_sha256 string, decoded_sha256 string", digest))
 
 
-QUERIES = {f.__name__: f for f in (op4_secret_scans, op8_license_scans, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op4_secret_scans, op7_decontamination, op8_license_scans, op9_bpe)}
 ORACLES: dict[str, str] = {}
