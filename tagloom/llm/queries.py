@@ -5,20 +5,37 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, decontamination, licenses, secrets, toxicity
+from tagloom.llm import bpe, decontamination, licenses, quality, secrets, sharding, simhash, toxicity
 from tagloom.llm.common import load
 
 
+def op1_quality_rules(spark, sf_dir):
+    scored = quality.quality(load(spark, sf_dir, "documents"))
+    failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
+    kept = ~failed & (F.col("p_good") >= 0.5)
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), F.round("p_good", 6).alias("p_good"))
+
+
 def op2_toxicity(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.train(docs, load(spark, sf_dir, "labels")))
 
 
+def op3_sharding(spark, sf_dir):
+    return sharding.shard(load(spark, sf_dir, "documents"))
+
+
 def op4_secret_scans(spark, sf_dir):
     return secrets.find_secrets(load(spark, sf_dir, "documents"), emit=(secrets.DIGEST_DDL, secrets.digest))
 
 
+def op5_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op7_decontamination(spark, sf_dir):
     return decontamination.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -34,5 +51,5 @@ def op9_bpe(spark, sf_dir):
     return bpe.encode_texts(load(spark, sf_dir, "documents"), emit=("n_tokens long, ids_sha256 string, decoded_sha256 string", digest))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_secret_scans, op7_decontamination, op8_license_scans, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_sharding, op4_secret_scans, op5_simhash, op7_decontamination, op8_license_scans, op9_bpe)}
 ORACLES: dict[str, str] = {}
