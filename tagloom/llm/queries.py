@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, decontamination, licenses, quality, secrets, sharding, simhash, toxicity
+from tagloom.llm import bpe, decontamination, licenses, quality, repeats, secrets, sharding, simhash, toxicity
 from tagloom.llm.common import load
 
 
@@ -36,6 +36,13 @@ def op5_simhash(spark, sf_dir):
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_substring_dedup(spark, sf_dir):
+    def digest(line, begins, n, spans):
+        return n, sum(b - a for a, b in spans), hashlib.sha256(repeats.kept(line, begins, n, spans)).hexdigest()
+
+    return repeats.without_repeats(load(spark, sf_dir, "documents"), repeats.WORDS, "n_words long, n_removed long, kept_sha256 string", digest)
+
+
 def op7_decontamination(spark, sf_dir):
     return decontamination.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -51,5 +58,12 @@ def op9_bpe(spark, sf_dir):
     return bpe.encode_texts(load(spark, sf_dir, "documents"), emit=("n_tokens long, ids_sha256 string, decoded_sha256 string", digest))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_sharding, op4_secret_scans, op5_simhash, op7_decontamination, op8_license_scans, op9_bpe)}
+def op10_suffix_array(spark, sf_dir):
+    def digest(line, begins, n, spans):
+        return n, sum(b - a for a, b in spans), len(spans), hashlib.sha256(repeats.kept(line, begins, n, spans)).hexdigest()
+
+    return repeats.without_repeats(load(spark, sf_dir, "documents"), repeats.BYTES, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", digest)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_sharding, op4_secret_scans, op5_simhash, op6_substring_dedup, op7_decontamination, op8_license_scans, op9_bpe, op10_suffix_array)}
 ORACLES: dict[str, str] = {}
