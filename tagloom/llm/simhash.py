@@ -4,46 +4,63 @@ Fingerprints that differ in at most r of 64 bits agree wholly in b - r of any b
 blocks brings all candidates together.  Within a key, a table of Hamming distances to many reference fingerprints
 (pivots) discards pairs: by the triangle inequality, close fingerprints have distances to any pivot that differ by at
 most r.  Survivors are verified bit by bit, and only the links of a spanning forest leave the task.
+
+For a similarity such as 0.8 the radius is too wide for blocks.  Then fingerprints have 256 bits, and keys are samples
+of their bits, as many as bring a pair of just that similarity together with the probability RECALL.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagloom.llm.common import materialize, only, scan, texts
 from tagloom.llm.components import components
+from tagloom.llm.windows import mix
 
 WORDS = 4
 SEED = 42
 RADIUS = 4
+#: 64-bit parts of a wide fingerprint.
+WIDE = 4
+#: Probability with which a pair of just the wanted similarity meets under a key, and the margin, as a share of the
+#: bits, that is added to the distance to be expected, since distances scatter.
+RECALL = 0.98
+MARGIN = 0.03
 #: Reference fingerprints: fixed pseudo-random ones, the more the fewer pairs survive.
-PIVOTS = np.random.default_rng(5).integers(0, 2**64, 24, dtype=np.uint64)
+PIVOTS = np.random.default_rng(5).integers(0, 2**64, (24, WIDE), dtype=np.uint64)
+#: Odd multipliers that turn a shingle's hash into the hashes for the further parts.
+_PARTS = np.random.default_rng(11).integers(0, 2**63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Keys with up to this many fingerprints have all their pairs looked at; in larger ones clusters are peeled off.
 SMALL = 48
 
 
-def fingerprint(text: str, size: int = WORDS) -> int:
-    """64-bit SimHash over shingles of ``size`` words, repeats included; A-Z count as a-z.
+def fingerprint(text: str, size: int = WORDS, parts: int = 1) -> list[int]:
+    """SimHash of ``parts`` times 64 bits over shingles of ``size`` words, repeats included; A-Z count as a-z.
 
-    A text of fewer words is one shingle; without words the fingerprint is zero.
+    A text of fewer words is one shingle; without words the fingerprint is zero.  The first part is over XXH64.
     """
     found = text.encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return 0
+        return [0] * parts
     line = b" ".join(found)
-    if len(found) <= size:
-        return xxhash.xxh64_intdigest(line, SEED)
+    size = min(size, len(found))
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
     starts = np.r_[0, ends[:-1]][: len(found) - size + 1]
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(line[a:b], SEED) for a, b in zip(starts.tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)], np.uint64)
+    return [majority(h if i == 0 else mix(h * _PARTS[i])) for i in range(parts)]
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 15):
         ones += np.unpackbits(h[at : at + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -54,12 +71,20 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, size: int = WORDS, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "fp") -> DataFrame:
-    """``keep`` and ``name``, the fingerprint as a signed long, of every row; null texts count as empty."""
-    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(name, T.LongType())])
+def fingerprints(docs: DataFrame, size: int = WORDS, text: str = "text", keep: tuple[str, ...] = ("doc_id",), parts: int = 1, name: str = "fp") -> DataFrame:
+    """``keep``, ``name`` (a signed long that stands for the fingerprint) and, if it is wide, its parts as an array.
+
+    A fingerprint of 64 bits stands for itself, a wide one is named by a hash.  Null texts count as empty.
+    """
+    extra = [T.StructField(name, T.LongType())] + ([T.StructField(f"{name}_parts", T.ArrayType(T.LongType()))] if parts > 1 else [])
+    schema = T.StructType([*docs.select(*keep).schema.fields, *extra])
 
     def rows(batch: pa.RecordBatch) -> list:
-        return [*(batch.column(c) for c in keep), [signed(fingerprint(t, size)) for t in texts(batch, text)]]
+        made = [[signed(p) for p in fingerprint(t, size, parts)] for t in texts(batch, text)]
+        own = [batch.column(c) for c in keep]
+        if parts == 1:
+            return [*own, [m[0] for m in made]]
+        return [*own, [signed(xxhash.xxh3_64_intdigest(np.array(m, np.int64).tobytes())) for m in made], made]
 
     return scan(only(docs, *dict.fromkeys((*keep, text))), rows, schema)
 
@@ -76,19 +101,36 @@ def choose_blocks(n: int, radius: int) -> int:
     return next(b for b in range(radius + 1, 65) if n / 2.0 ** (64 * (b - radius) / b) <= 4 or b == 16)
 
 
-def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints (column fp) within ``radius`` bits, enough to connect all that are linked.
+def sampled_bits(n: int, agree: float, bits: int) -> list[list[int]]:
+    """Samples of bit places: each so large that few fingerprints of n meet by chance, so many that RECALL holds.
 
-    Not every link is named, but two fingerprints are connected through the result exactly if they are through links.
+    ``agree`` is the share of bits in which a pair of the wanted similarity agrees.
     """
-    masks = block_masks(blocks or choose_blocks(fps.count(), radius), radius)
-    keys = F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks)))
-    dealt = fps.select("fp", F.explode(keys).alias("key")).repartition("key").sortWithinPartitions("key")
+    size = max(12, math.ceil(math.log2(max(n, 2))) - 3)
+    count = math.ceil(-math.log(1 - RECALL) / agree**size)
+    rng = np.random.default_rng(23)
+    return [sorted(rng.choice(bits, min(size, bits), replace=False).tolist()) for _ in range(count)]
+
+
+def bit_distance(similarity: float) -> float:
+    """Share of bits in which SimHashes of two equally large sets of this Jaccard similarity differ, on average."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def links(nodes: DataFrame, keys: Column, parts: list[Column], radius: int) -> DataFrame:
+    """Pairs (a, b) of nodes (column fp) within ``radius`` bits that share a key, enough to connect all of these.
+
+    ``keys`` is an array of longs.  Not every link is named, but within a key two nodes are connected through the
+    result exactly if they are through links.
+    """
+    names = [f"p{i}" for i in range(len(parts))]
+    dealt = nodes.select("fp", F.explode(keys).alias("key"), *(p.alias(n) for p, n in zip(parts, names, strict=True))).repartition("key").sortWithinPartitions("key")
 
     def run(batches):
         key, rest, known = None, [], set()
         for batch in batches:
-            k, f = batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
+            k = batch.column("key").to_numpy()
+            f = np.stack([batch.column(c).to_numpy() for c in ("fp", *names)], axis=1).view(np.uint64)
             if not len(k):
                 continue
             cuts = np.flatnonzero(np.diff(k)) + 1
@@ -98,17 +140,17 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> Da
             tail = cuts[-1] if len(cuts) else 0
             if tail:
                 head = np.concatenate([*rest, f[:tail]])
-                shift = len(head) - tail
-                yield from out(head, np.r_[0, cuts[:-1] + shift], known)
+                yield from out(head, np.r_[0, cuts[:-1] + len(head) - tail], known)
                 rest = []
-            rest.append(f[tail:].copy())
+            rest.append(f[tail:])
             key = k[-1]
         if rest:
             yield from out(np.concatenate(rest), np.zeros(1, np.int64), known)
 
     def out(f, starts, known):
-        a, b = near_pairs(f, starts, radius)
-        fresh = [p for p in zip(a.view(np.int64).tolist(), b.view(np.int64).tolist(), strict=True) if p not in known]
+        a, b = near_pairs(np.ascontiguousarray(f[:, 1:]), starts, radius)
+        ids = f[:, 0].view(np.int64) if f.flags.c_contiguous else np.ascontiguousarray(f[:, 0]).view(np.int64)
+        fresh = {(x, y) if x < y else (y, x) for x, y in zip(ids[a].tolist(), ids[b].tolist(), strict=True) if x != y} - known
         if len(known) > 1 << 18:  # only spares repeats within a task
             known.clear()
         known.update(fresh)
@@ -118,101 +160,115 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> Da
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def distances(f: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Hamming distances between rows of fingerprints; either may be one row."""
+    return np.bitwise_count(f ^ x).sum(axis=-1, dtype=np.int16)
+
+
 def pivot_table(f: np.ndarray) -> np.ndarray:
     """Hamming distances of fingerprints to the pivots, a row for each fingerprint."""
-    return np.bitwise_count(f[:, None] ^ PIVOTS[None, :])
+    return np.stack([distances(f, p[: f.shape[1]]) for p in PIVOTS], axis=1)
 
 
 def near_pairs(f: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within the groups that begin at ``starts``, enough to connect what is linked in each."""
+    """Row numbers of links within the groups that begin at ``starts``, enough to connect what is linked in each."""
     sizes = np.diff(np.r_[starts, len(f)])
-    left, right = [], []
-    several = np.flatnonzero((sizes > 1) & (sizes <= SMALL))
-    for s in range(2, SMALL + 1):
-        at = starts[several[sizes[several] == s]]
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for s in range(2, min(SMALL, int(sizes.max(initial=0))) + 1):
+        at = starts[sizes == s]
         if len(at):
             i, j = np.triu_indices(s, 1)
-            for part in np.array_split(at, 1 + len(at) * len(i) // (1 << 18)):
-                a, b = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
-                used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-                table = pivot_table(f[used]).astype(np.int8)
-                pa_, pb = place[: len(a)], place[len(a) :]
-                keep = np.ones(len(a), bool)
-                for c in range(0, len(PIVOTS), 4):  # a few coordinates at a time: most pairs fall at the first ones
-                    idx = np.flatnonzero(keep)
-                    keep[idx] = np.abs(table[pa_[idx], c : c + 4] - table[pb[idx], c : c + 4]).max(axis=1) <= radius
-                a, b = a[keep], b[keep]
-                close = np.bitwise_count(f[a] ^ f[b]) <= radius
-                left.append(f[a[close]])
-                right.append(f[b[close]])
+            for part in np.array_split(at, 1 + len(at) * len(i) // (1 << 17)):
+                rows = (part[:, None] + np.arange(s)).ravel()
+                table = pivot_table(f[rows])
+                a, b = (np.arange(len(part))[:, None] * s + i).ravel(), (np.arange(len(part))[:, None] * s + j).ravel()
+                for c in range(0, table.shape[1], 4):  # a few coordinates at a time: most pairs fall at the first ones
+                    keep = np.abs(table[a, c : c + 4] - table[b, c : c + 4]).max(axis=1) <= radius
+                    a, b = a[keep], b[keep]
+                a, b = rows[a], rows[b]
+                close = distances(f[a], f[b]) <= radius
+                left.append(a[close])
+                right.append(b[close])
     for g in np.flatnonzero(sizes > SMALL):
         a, b = peel(f[starts[g] : starts[g] + sizes[g]], radius)
-        left.append(a)
-        right.append(b)
-    if not left:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        left.append(a + starts[g])
+        right.append(b + starts[g])
     return np.concatenate(left), np.concatenate(right)
 
 
 def peel(f: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links within one large group.
+    """Row numbers of a spanning forest of the links within one large group.
 
     A leader serves as a pivot of its own: what is linked to it leaves the group at once, and members of its cluster
     are compared only with those whose distance to the leader allows a link.
     """
-    f = np.unique(f)
-    left, right = [], []
-    while len(f) > 1:
-        lead, f = f[0], f[1:]
-        away = np.bitwise_count(f ^ lead).astype(np.int16)
-        queue, near = [(lead, 0)], away
-        while queue:
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    rest = np.arange(len(f))
+    while len(rest) > 1:
+        lead, rest = rest[0], rest[1:]
+        near = distances(f[rest], f[lead])
+        queue = [(lead, 0)]
+        while queue and len(rest):
             x, dx = queue.pop()
             maybe = np.flatnonzero(np.abs(near - dx) <= radius)
-            hit = maybe[np.bitwise_count(f[maybe] ^ x) <= radius]
+            hit = maybe[distances(f[rest[maybe]], f[x]) <= radius]
             if len(hit):
-                left.append(np.full(len(hit), x, np.uint64))
-                right.append(f[hit])
-                queue += zip(f[hit], near[hit].tolist(), strict=True)
-                stay = np.ones(len(f), bool)
+                left.append(np.full(len(hit), x))
+                right.append(rest[hit])
+                queue += zip(rest[hit].tolist(), near[hit].tolist(), strict=True)
+                stay = np.ones(len(rest), bool)
                 stay[hit] = False
-                f, near = f[stay], near[stay]
-    if not left:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+                rest, near = rest[stay], near[stay]
     return np.concatenate(left), np.concatenate(right)
 
 
-def near_duplicates(docs: DataFrame, size: int = WORDS, radius: int = RADIUS, text: str = "text", blocks: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = WORDS, radius: int = RADIUS, similarity: float | None = None, text: str = "text", blocks: int | None = None) -> DataFrame:
     """doc_id, fp (signed long), component_id and root of every row.
 
-    component_id is the smallest doc_id that can be reached over fingerprints at most ``radius`` bits apart, null where
-    a component has no id at all; root is its smallest fingerprint.  Equal texts share a fingerprint, so groups of
-    copies are one node however large.  Null and empty texts have fingerprint zero and are linked like any other.
-    Other columns are left out.
+    Fingerprints of 64 bits are linked at ``radius`` differing bits at most, all of them; with ``similarity``,
+    fingerprints of 256 bits at the distance that such texts have.  component_id is the smallest doc_id that can be
+    reached over links, null where a component has no id at all; root is its smallest fp.  Equal texts share a
+    fingerprint, so groups of copies are one node however large.  Null and empty texts have fingerprint zero and are
+    linked like any other.  Other columns are left out.
     """
-    rows = materialize(fingerprints(docs, size, text))
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = materialize(components(links(nodes.select("fp"), radius, blocks)))
+    rows = materialize(fingerprints(docs, size, text, parts=1 if similarity is None else WIDE))
+    if similarity is None:
+        nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+        masks = block_masks(blocks or choose_blocks(nodes.count(), radius), radius)
+        keys = F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks)))
+        parts = [F.col("fp")]
+    else:
+        nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("fp_parts").alias("fp_parts")))
+        parts = [F.col("fp_parts")[i] for i in range(WIDE)]
+        share = bit_distance(similarity)
+        radius = int((share + MARGIN) * 64 * WIDE)
+        keys = F.array(*(F.xxhash64(F.lit(i), *(p.bitwiseAND(F.lit(signed(m))) for p, m in zip(parts, part_masks(places), strict=True) if m)) for i, places in enumerate(sampled_bits(nodes.count(), 1 - share, 64 * WIDE))))
+    roots = materialize(components(links(nodes, keys, parts, radius)))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = materialize(named.join(smallest, "root").select("fp", "component_id", "root"))
     return rows.join(classes, "fp", "left").select("doc_id", "fp", "component_id", "root")
 
 
+def part_masks(places: list[int]) -> list[int]:
+    """The mask of each 64-bit part that holds the given bit places."""
+    return [sum(1 << (p - 64 * i) for p in places if 64 * i <= p < 64 * (i + 1)) for i in range(WIDE)]
+
+
 def hex_digits(fp):
     """16 lower-case hex digits of a signed long column."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, size: int = WORDS, radius: int = RADIUS, text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, size: int = WORDS, radius: int = RADIUS, similarity: float | None = None, text: str = "text") -> DataFrame:
     """``docs`` with one row of each component, the one of its smallest doc_id; of rows that share that id, any one.
 
     A row without an id stays only if no row of its component has one; of those one stays.
     """
-    classes = materialize(near_duplicates(docs, size, radius, text))
+    classes = materialize(near_duplicates(docs, size, radius, similarity, text))
     names, mark = docs.columns, "__tagloom_fp"
     ids = classes.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
     kept = docs.join(ids, "doc_id", "left_semi").select(*names).dropDuplicates(["doc_id"])
-    nameless = fingerprints(docs.where("doc_id is null"), size, text, tuple(names), mark)
+    nameless = fingerprints(docs.where("doc_id is null"), size, text, tuple(names), 1 if similarity is None else WIDE, mark)
     chosen = classes.where("component_id is null").groupBy("root").agg(F.min("fp").alias(mark)).select(mark)
     return kept.unionByName(nameless.join(chosen, mark, "left_semi").dropDuplicates([mark]).select(*names))
