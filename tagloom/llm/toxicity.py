@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.llm.common import only, scan, texts
+from tagloom.llm.common import discard, materialize, only, scan, texts
 from tagloom.llm.licenses import normal_words
 
 #: Most labelled rows of each label that a model is fitted on: those with the smallest hash of their id.
@@ -87,54 +87,56 @@ def sample_labels(labels: DataFrame, limit: int = MAX_LABELLED, label: str = "to
     return parts[0].unionByName(parts[1])
 
 
-def labelled_features(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> list[tuple[int, dict[bytes, int]]]:
-    """(toxic, word counts) of the sampled rows; at most 2 * ``limit`` ids, whose words come to the driver."""
-    joined = only(docs, "doc_id", "text").join(F.broadcast(sample_labels(labels, limit)), "doc_id").select("toxic", "text", "doc_id")
+def labelled_features(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
+    """toxic, features and counts of the sampled rows, kept in the shared folder; at most 2 * ``limit`` ids."""
+    joined = only(docs, "doc_id", "text").join(F.broadcast(sample_labels(labels, limit)), "doc_id").select("toxic", "text")
 
     def rows(batch: pa.RecordBatch) -> list:
         counts = [features(t) for t in texts(batch)]
-        return [batch.column("doc_id").cast(pa.string()), batch.column("toxic"), [list(c) for c in counts], [list(c.values()) for c in counts]]
-
-    got = scan(joined, rows, "doc_id string, toxic int, words array<binary>, counts array<int>").collect()
-    got.sort(key=lambda r: (r[0], r[1], len(r[2]), sorted(r[2])[:1]))
-    return [(r[1], dict(zip(map(bytes, r[2]), r[3], strict=True))) for r in got]
-
-
-def mark_words(rows: list[tuple[int, dict[bytes, int]]], min_z: float = MIN_Z, limit: int = MAX_FEATURES) -> dict[bytes, float]:
-    """z-scores of the words whose share of toxic and other texts differs clearly."""
-    n = Counter(y for y, _ in rows)
-    has: tuple[Counter, Counter] = (Counter(), Counter())
-    for y, counts in rows:
-        has[y].update(counts.keys())
-    out = {}
-    for w in has[0].keys() | has[1].keys():
-        a, b = has[1][w], has[0][w]
-        if a + b < 5:
-            continue
-        p = (a + b) / (n[0] + n[1])
-        spread = math.sqrt(max(p * (1 - p), 1e-9) * (1 / max(n[1], 1) + 1 / max(n[0], 1)))
-        z = (a / max(n[1], 1) - b / max(n[0], 1)) / spread
-        if abs(z) >= min_z:
-            out[w] = z
-    return dict(sorted(out.items(), key=lambda x: (-abs(x[1]), x[0]))[:limit])
-
-
-def severity(toxic: int, counts: dict[bytes, int], marks: dict[bytes, float], edges: tuple[int, ...] = GRADE_EDGES) -> int:
+        return [batch.column("toxic"), [list(c) for c in counts], [list(c.values()) for c in counts]]
+
+    return materialize(scan(joined, rows, "toxic int, features array<binary>, counts array<int>"))
+
+
+def marks(sample: DataFrame, min_z: float = MIN_Z, limit: int = MAX_FEATURES) -> dict[bytes, float]:
+    """z-scores of the features whose share of toxic and other texts differs clearly; at most ``limit`` of them."""
+    n = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
+    if not n.get(0) or not n.get(1):
+        return {}
+    seen = sample.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.count("*").cast("double").alias("n"), F.sum("toxic").cast("double").alias("a"))
+    share = F.col("n") / (n[0] + n[1])
+    spread = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / n[1] + 1 / n[0]))
+    z = (F.col("a") / n[1] - (F.col("n") - F.col("a")) / n[0]) / spread
+    chosen = seen.where("n >= 5").select("f", z.alias("z")).where(F.abs("z") >= min_z).orderBy(F.abs("z").desc(), "f").limit(limit)
+    return {bytes(r[0]): r[1] for r in chosen.collect()}
+
+
+def marked_rows(sample: DataFrame, known: dict[bytes, float]) -> list[tuple[int, dict[bytes, int]]]:
+    """(toxic, counts) of the sample, of known features only, in a fixed order."""
+
+    def rows(batch: pa.RecordBatch) -> list:
+        pairs = [[(f, n) for f, n in zip(fs, ns, strict=True) if f in known] for fs, ns in zip(batch.column("features").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
+        return [batch.column("toxic"), [[f for f, _ in p] for p in pairs], [[n for _, n in p] for p in pairs]]
+
+    got = scan(sample, rows, sample.schema).collect()
+    return sorted(((r[0], dict(sorted(zip(map(bytes, r[1]), r[2], strict=True)))) for r in got), key=lambda r: (r[0], tuple(r[1].items())))
+
+
+def severity(toxic: int, counts: dict[bytes, int], known: dict[bytes, float], edges: tuple[int, ...] = GRADE_EDGES) -> int:
     """Grade of a labelled text: 0 if not toxic, else 1 and one more for each edge that its marking words reach."""
-    hits = sum(n for w, n in counts.items() if marks.get(w, 0) > 0 and len(w) == BEGINNINGS[0] + 1 and w.endswith(b"*"))  # each word once
+    hits = sum(n for w, n in counts.items() if known.get(w, 0) > 0 and len(w) == BEGINNINGS[0] + 1 and w.endswith(b"*"))  # each word once
     return 1 + sum(hits >= e for e in edges) if toxic else 0
 
 
-def fit(rows: list[tuple[int, dict[bytes, int]]], rounds: int = 400, rate: float = 0.1, l2: float = 1e-3) -> OrdinalModel:
-    """Fit weights and thresholds to (toxic, word counts) by Adam on the mean negative log-likelihood.
+def fit(rows: list[tuple[int, dict[bytes, int]]], known: dict[bytes, float], rounds: int = 400, rate: float = 0.1, l2: float = 1e-3) -> OrdinalModel:
+    """Fit weights and thresholds to (toxic, counts of known features) by Adam on the mean negative log-likelihood.
 
     Without rows of both labels nothing can be learnt: the model then gives every text grade 0.
     """
     if len({y for y, _ in rows}) < 2:
         return OrdinalModel()
-    marks = mark_words(rows)
-    index = {w: i for i, w in enumerate(marks)}
-    grade = np.array([severity(y, c, marks) for y, c in rows])
+    index = {w: i for i, w in enumerate(known)}
+    grade = np.array([severity(y, c, known) for y, c in rows])
     levels = int(grade.max())
     grade = np.minimum(grade, levels)
     entry = [(r, index[w], 1 + math.log(n)) for r, (_, c) in enumerate(rows) for w, n in c.items() if w in index]
@@ -163,7 +165,11 @@ def fit(rows: list[tuple[int, dict[bytes, int]]], rounds: int = 400, rate: float
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> OrdinalModel:
     """Model fitted on at most ``limit`` labelled rows of each label."""
-    return fit(labelled_features(docs, labels, limit))
+    sample = labelled_features(docs, labels, limit)
+    known = marks(sample)
+    model = fit(marked_rows(sample, known), known)
+    discard(sample)
+    return model
 
 
 SCORE_DDL = "severity double, grade int, p_toxic double, toxic boolean"
