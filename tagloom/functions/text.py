@@ -89,7 +89,8 @@ def join_chunk(tokens: Column | str) -> Column:
 
 def days_since(reference: Column, *stamps: Column | str, missing: float = 1e9) -> Column:
     """Days from the latest of some epoch seconds to the reference, 0 at least; a missing stamp counts as ``missing``."""
-    latest = F.greatest(*(F.coalesce(_c(s).try_cast("double"), F.lit(missing)) for s in stamps))
+    known = [F.coalesce(_c(s).try_cast("double"), F.lit(missing)) for s in stamps]
+    latest = F.greatest(*known) if len(known) > 1 else known[0]
     return F.greatest((reference - latest) / F.lit(86400.0), F.lit(0.0))
 
 

@@ -16,7 +16,7 @@ p AS (SELECT *, CAST(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY i) AS
 c AS (SELECT doc_id, i, s, 1 AS k, unit AS surface FROM p UNION ALL SELECT doc_id, i, s, 3, unit || u2 || u3 FROM p WHERE u3 IS NOT NULL),
 spans AS (SELECT doc_id, i, k, s, s + length(surface) AS e, surface FROM c SEMI JOIN {entries} USING (surface))"""
 MATCH = f"WITH {TOKENS}, {ENTRIES}, {SPANS.format(text='text', entries='entries')}"
-UPPER = f"WITH {TOKENS}, {ENTRIES}, upper_entries AS (SELECT upper(surface) AS surface, max(surface) AS tag FROM entries GROUP BY 1), {SPANS.format(text='upper(text)', entries='upper_entries')}"
+UPPER = f"WITH {TOKENS}, {ENTRIES}, upper_entries AS (SELECT upper(replace(surface, 'ß', 'ss')) AS surface, max(surface) AS tag FROM entries GROUP BY 1), {SPANS.format(text="upper(replace(text, 'ß', 'ss'))", entries='upper_entries')}"
 
 
 @query("dict_match", f"{MATCH} SELECT doc_id, s AS start, e AS \"end\", surface FROM spans")
@@ -135,14 +135,14 @@ def textrank(spark, sf_dir):
 
 # -- relations
 
-BASKETS = """tags AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS pos, p_brand AS tag FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+BASKETS = """tags AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, p_brand) AS pos, p_brand AS tag FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 FOLD = BASKETS + """,
 walk AS (SELECT doc, pos AS i, pos AS j, tag AS cur, CAST(NULL AS VARCHAR) AS a, CAST(NULL AS VARCHAR) AS b FROM tags
 UNION ALL SELECT r.doc, r.i, t.pos, CASE WHEN contains(r.cur, t.tag) OR contains(t.tag, r.cur) THEN r.cur ELSE least(r.cur, t.tag) END,
 CASE WHEN contains(r.cur, t.tag) OR contains(t.tag, r.cur) THEN NULL ELSE least(r.cur, t.tag) END, CASE WHEN contains(r.cur, t.tag) OR contains(t.tag, r.cur) THEN NULL ELSE greatest(r.cur, t.tag) END
 FROM walk r JOIN tags t ON t.doc = r.doc AND t.pos = r.j + 1 WHERE t.pos <= r.i + 10)"""
 WEIGHTS = """two AS (SELECT a, b, count(*) AS n FROM pairs GROUP BY ALL), one AS (SELECT u, sum(n) AS m FROM (SELECT a AS u, n FROM two UNION ALL SELECT b, n FROM two) GROUP BY 1),
-both AS (SELECT a AS u, b AS v, n FROM two UNION ALL SELECT b, a, n FROM two)"""
+twoway AS (SELECT a AS u, b AS v, n FROM two UNION ALL SELECT b, a, n FROM two)"""
 
 
 def baskets(spark, sf_dir):
@@ -151,12 +151,12 @@ def baskets(spark, sf_dir):
     return rows.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "p_brand"))), lambda x: x["p_brand"]).alias("tags"))
 
 
-@query("cooc_weights", f"WITH RECURSIVE {FOLD}, pairs AS (SELECT a, b FROM walk WHERE a IS NOT NULL), {WEIGHTS} SELECT u, v, round(CAST(n AS DOUBLE) / m, 6) AS w FROM both JOIN one USING (u)")
+@query("cooc_weights", f"WITH RECURSIVE {FOLD}, pairs AS (SELECT a, b FROM walk WHERE a IS NOT NULL), {WEIGHTS} SELECT u, v, round(CAST(n AS DOUBLE) / m, 6) AS w FROM twoway JOIN one USING (u)")
 def cooc_weights(spark, sf_dir):
     return relations.cooccurrence(baskets(spark, sf_dir)).withColumn("w", F.round("w", 6))
 
 
-@query("cooc_symmetric", f"WITH {BASKETS}, pairs AS (SELECT least(x.tag, y.tag) AS a, greatest(x.tag, y.tag) AS b FROM tags x JOIN tags y ON x.doc = y.doc AND y.pos > x.pos AND y.pos <= x.pos + 3 WHERE NOT contains(x.tag, y.tag) AND NOT contains(y.tag, x.tag)), {WEIGHTS} SELECT u, v, round(CAST(n AS DOUBLE) / m, 6) AS w FROM both JOIN one USING (u) WHERE n > 2 AND CAST(n AS DOUBLE) / m >= 0.01")
+@query("cooc_symmetric", f"WITH {BASKETS}, pairs AS (SELECT least(x.tag, y.tag) AS a, greatest(x.tag, y.tag) AS b FROM tags x JOIN tags y ON x.doc = y.doc AND y.pos > x.pos AND y.pos <= x.pos + 3 WHERE NOT contains(x.tag, y.tag) AND NOT contains(y.tag, x.tag)), {WEIGHTS} SELECT u, v, round(CAST(n AS DOUBLE) / m, 6) AS w FROM twoway JOIN one USING (u) WHERE n > 2 AND CAST(n AS DOUBLE) / m >= 0.01")
 def cooc_symmetric(spark, sf_dir):
     return relations.cooccurrence(baskets(spark, sf_dir), window=3, min_count=2, min_weight=0.01, mode="symmetric").withColumn("w", F.round("w", 6))
 
@@ -210,15 +210,15 @@ def kg_mention_edges(spark, sf_dir):
     return relations.mention_edges(k["nodes"], k["mentions"])
 
 
-#: Words are part types and their endings with the last word; classes must be words.
-TYPES = """ty AS (SELECT DISTINCT p_type AS word FROM part), vw AS (SELECT word FROM ty UNION SELECT DISTINCT string_split(p_type, ' ')[-1] FROM part UNION SELECT DISTINCT string_split(p_type, ' ')[1] FROM part), sp AS (SELECT word, string_split(word, ' ') AS t FROM vw),
+#: Words are part names and their first and last words; classes must be words.
+TYPES = """ty AS (SELECT DISTINCT p_name AS word FROM part), vw AS (SELECT word FROM ty UNION SELECT DISTINCT string_split(p_name, ' ')[-1] FROM part UNION SELECT DISTINCT string_split(p_name, ' ')[1] FROM part), sp AS (SELECT word, string_split(word, ' ') AS t FROM vw),
 suf AS (SELECT word, array_to_string(t[i:], ' ') AS class FROM (SELECT word, t, unnest(generate_series(1, len(t))) AS i FROM sp)), isa_s AS (SELECT word, class FROM suf SEMI JOIN (SELECT word AS class FROM vw) x USING (class))"""
 
 
 def type_words(spark, sf_dir):
-    p = load(spark, sf_dir, "part").select("p_type").distinct()
-    toks = F.split("p_type", " ")
-    every = p.select(F.col("p_type").alias("word")).union(p.select(F.element_at(toks, -1))).union(p.select(toks[0])).distinct()
+    p = load(spark, sf_dir, "part").select("p_name").distinct()
+    toks = F.split("p_name", " ")
+    every = p.select(F.col("p_name").alias("word")).union(p.select(F.element_at(toks, -1))).union(p.select(toks[0])).distinct()
     return every.select("word", F.split("word", " ").alias("tokens"))
 
 
@@ -252,7 +252,7 @@ def isa_triples(spark, sf_dir):
 @query("isa_soft")
 def isa_soft(spark, sf_dir):
     w = type_words(spark, sf_dir)
-    pos = w.select(F.explode("tokens").alias("token")).distinct().withColumn("tag", F.when(F.col("token").endswith("ED"), "v").otherwise("n"))
+    pos = w.select(F.explode("tokens").alias("token")).distinct().withColumn("tag", F.when(F.col("token").endswith("ed"), "v").otherwise("n"))
     return relations.soft_classes(w, pos, glue=" ")
 
 
