@@ -11,11 +11,11 @@ SEPARATOR = 0xFF
 def suffix_order(first: np.ndarray, span: int, depth: int) -> np.ndarray:
     """Positions in the order of their first ``depth`` symbols at least, by prefix doubling.
 
-    ``first`` ranks each position by its first ``span`` symbols.  Positions that agree in all symbols compared keep
-    their order in the text.
+    ``first`` ranks each position by its first ``span`` symbols.  Positions that agree in all symbols compared stand
+    in any order; intervals of prefixes no longer than ``depth`` hold such positions together.
     """
     n = len(first)
-    order = np.argsort(first, kind="stable")
+    order = np.argsort(first)
     while True:
         sorted_ = first[order]
         rank = np.empty(n, np.uint64)
@@ -25,7 +25,7 @@ def suffix_order(first: np.ndarray, span: int, depth: int) -> np.ndarray:
         later = np.zeros(n, np.uint64)
         later[:-span] = rank[span:] + np.uint64(1)
         first = (rank << np.uint64(32)) | later
-        order = np.argsort(first, kind="stable")
+        order = np.argsort(first)
         span *= 2
 
 
