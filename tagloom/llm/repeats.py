@@ -43,13 +43,19 @@ class Unit:
         """The text in the form that offsets refer to: words joined by one blank, or the bytes themselves."""
         return b" ".join(text.split()) if self.words else text
 
-    def symbols(self, line: bytes) -> tuple[np.ndarray, np.ndarray | None]:
-        """Hashes of the symbols, and where each word begins in the line, with one more for the end."""
+    def symbols(self, line: bytes) -> np.ndarray:
+        """Hashes of the symbols."""
         if not self.words:
-            return BYTE_HASH[np.frombuffer(line, np.uint8)], None
+            return BYTE_HASH[np.frombuffer(line, np.uint8)]
         words = line.split(b" ") if line else []
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), np.r_[0, np.cumsum(sizes + 1)]
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+    def begins(self, line: bytes) -> np.ndarray | None:
+        """Where each word begins in the line, with one more for the end; None for bytes."""
+        if not self.words:
+            return None
+        blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 0x20) + 1
+        return np.concatenate([[0], blanks, [len(line) + 1]]) if line else np.zeros(1, np.int64)
 
     def cut(self, line: bytes, begins: np.ndarray | None, start: int, end: int) -> bytes:
         """Symbols start to end of the line."""
@@ -59,15 +65,15 @@ class Unit:
         return word_repeats(bodies, self.window) if self.words else repeated_starts(bodies, self.window)
 
 
-def runs_of(line: bytes, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+def runs_of(line: bytes, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchors, first windows and numbers of windows of a line's segments; very long lines go in overlapping parts."""
-    symbols, begins = unit.symbols(line)
+    symbols = unit.symbols(line)
     found = []
     for at in range(0, max(1, len(symbols) - unit.window + 1), MAX_SYMBOLS - unit.window + 1):
         part = symbols[at : at + MAX_SYMBOLS]
         anchors, first, count = segment_runs(part, np.full(len(part), len(part)), unit.window, unit.gram)
         found.append((anchors, first + at, count))
-    return *(np.concatenate(x) for x in zip(*found, strict=True)), begins
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def signed(x: int) -> int:
@@ -88,6 +94,16 @@ def with_key(docs: DataFrame, text: str, *keep: str) -> DataFrame:
     return docs.select(*(F.col(f"`{c}`") for c in keep), body.alias("_body"), F.xxhash64(body).alias("tk"), F.crc32(body.cast("binary")).alias("tc"))
 
 
+def anchors(docs: DataFrame, unit: Unit, text: str = "text") -> DataFrame:
+    """anchor of every segment of every row."""
+
+    def rows(batch: pa.RecordBatch) -> list | None:
+        found = [runs_of(unit.line(t.as_py().encode()), unit)[0] for t in batch.column(text) if t.as_py()]
+        return [np.concatenate(found).view(np.int64)] if found else None
+
+    return scan(only(docs, text), rows, "anchor long")
+
+
 def segments(docs: DataFrame, unit: Unit, text: str = "text") -> DataFrame:
     """anchor, dg (hash of the content), tk, tc, start, count of every segment of every row."""
 
@@ -99,12 +115,12 @@ def segments(docs: DataFrame, unit: Unit, text: str = "text") -> DataFrame:
                 continue
             raw = raw.encode()
             line = unit.line(raw)
-            anchors, first, count, begins = runs_of(line, unit)
-            if not len(anchors):
+            found, first, count = runs_of(line, unit)
+            if not len(found):
                 continue
-            ends = first + count + unit.window - 1
+            begins, ends = unit.begins(line), first + count + unit.window - 1
             a, b = (first, ends) if begins is None else (begins[first], begins[ends] - 1)
-            out[0].append(anchors.view(np.int64))
+            out[0].append(found.view(np.int64))
             out[1] += [digest(line[i:j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
             out[2].append(np.full(len(first), signed(xxhash.xxh64_intdigest(raw, 42)), np.int64))
             out[3].append(np.full(len(first), zlib.crc32(raw), np.int64))
@@ -134,7 +150,7 @@ def fetch(docs: DataFrame, wanted: DataFrame, unit: Unit, text: str, windows: bo
                 if not want:
                     continue
                 line = unit.line(raw.as_py().encode())
-                begins = unit.symbols(line)[1]
+                begins = unit.begins(line)
                 out = []
                 for w in want:
                     done.add((w["anchor"], w["dg"]))
@@ -175,9 +191,8 @@ def repeated_windows(docs: DataFrame, unit: Unit, text: str = "text", many: int
 
     Where ``hits`` is null, all ``count`` windows from start on are repeated.
     """
-    made = segments(docs, unit, text)
-    again = made.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    rows = materialize(made.join(materialize(again), "anchor", "left_semi"))
+    again = anchors(docs, unit, text).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    rows = materialize(segments(docs, unit, text).join(materialize(again), "anchor", "left_semi"))
     contents = rows.groupBy("anchor", "dg").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "start", "count")).alias("x"))
     contents = materialize(contents.select("anchor", "dg", "n", "x.*"))
     kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
@@ -232,7 +247,7 @@ def without_repeats(docs: DataFrame, unit: Unit, ddl: str, emit: Callable[[bytes
         for raw, hits in zip(batch.column("_body"), batch.column("found"), strict=True):
             line = unit.line(raw.as_py().encode())
             spans = covered(hits.as_py(), unit.window)
-            begins = unit.symbols(line)[1]
+            begins = unit.begins(line)
             made.append(emit(line, begins, len(line) if begins is None else len(begins) - 1, spans))
         return [*(batch.column(c) for c in names), *map(list, zip(*made, strict=True))]
 
