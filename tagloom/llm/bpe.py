@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding by tree concatenation.
 
-A text is cut at places where no pre-token can span (a non-blank character followed by a blank), which cannot alter
-any token.  Pre-tokens longer than ``leaf`` bytes have no such place: their halves are encoded by themselves, and
-windows that grow around each join are encoded anew until both ends agree with the halves.
+Texts without long unsplit runs are encoded at once.  In others, pre-tokens longer than ``leaf`` bytes are cut into
+halves down to leaves, which are encoded by themselves, and windows that grow around each join are encoded anew until
+both ends agree with the halves.
 """
 
 from __future__ import annotations
@@ -72,22 +72,10 @@ class Codec:
     def _plain(self, text: str) -> list[int]:
         if not self.long_run.search(text):
             return self.core.encode_ordinary(text)
-        ids, at = [], 0
+        ids = []
         for m in regex.finditer(PATTERN, text):
-            if (m.end() - m.start()) * 4 >= self.leaf and len(unit := m[0].encode("utf-8", "surrogatepass")) > self.leaf:
-                # what stands between two such pre-tokens ends where a pre-token ends, which the pattern finds again
-                ids += self._until(text, at, m.start())
-                ids += self.tree(unit)
-                at = m.end()
-        return ids + self.core.encode_ordinary(text[at:])
-
-    def _until(self, text: str, start: int, end: int) -> list[int]:
-        """Ids of text[start:end], of which both ends are ends of pre-tokens in the whole text."""
-        ids = self.core.encode_ordinary(text[start:end])
-        if end < len(text) and text[end - 1 : end].isspace():
-            # a run of blanks is cut otherwise before a letter than at the end of a text
-            pieces = [m[0] for m in regex.finditer(PATTERN, text[start : end + 1]) if m.end() <= end - start]
-            ids = [i for p in pieces for i in self.unit(p.encode())]
+            piece = m[0].encode()
+            ids += self.tree(piece) if len(piece) > self.leaf else self.unit(piece)
         return ids
 
     def unit(self, piece: bytes) -> list[int]:
