@@ -16,17 +16,22 @@ def suffix_order(first: np.ndarray, span: int, depth: int) -> np.ndarray:
     """
     n = len(first)
     order = np.argsort(first)
+    # as many ranks as fit side by side into 64 bits are compared at a time
+    width = np.uint64(max(1, n.bit_length()))
+    ways = 3 if 3 * int(width) <= 64 else 2
     while True:
         sorted_ = first[order]
         rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(np.r_[False, sorted_[1:] != sorted_[:-1]]).astype(np.uint64)
+        rank[order] = np.cumsum(np.concatenate([[False], sorted_[1:] != sorted_[:-1]]), dtype=np.uint64)
         if span >= depth or rank[order[-1]] == n - 1:
             return order
-        later = np.zeros(n, np.uint64)
-        later[:-span] = rank[span:] + np.uint64(1)
-        first = (rank << np.uint64(32)) | later
+        rank += np.uint64(1)  # 0 stands for what is past the end
+        first = rank.copy()
+        for way in range(1, ways):
+            first <<= width
+            first[: n - min(n, way * span)] |= rank[way * span :]
         order = np.argsort(first)
-        span *= 2
+        span *= ways
 
 
 def byte_ranks(text: np.ndarray) -> np.ndarray:
@@ -49,19 +54,21 @@ def long_prefixes(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray
     n = len(text)
     last = text[order - 1]  # the symbol before each suffix
     by_symbol = np.argsort(last, kind="stable")
-    back = np.empty(n, np.int64)
-    back[by_symbol] = np.arange(n)
+    kind = np.int32 if n < 1 << 31 else np.int64
+    by_symbol = by_symbol.astype(kind)
+    back = np.empty(n, kind)
+    back[by_symbol] = np.arange(n, dtype=kind)
     same = last[by_symbol[1:]] == last[by_symbol[:-1]]
-    after, prior = np.full(n, n, np.int64), np.full(n, -1, np.int64)  # next and previous place of the same symbol
+    after, prior = np.full(n, n, kind), np.full(n, -1, kind)  # next and previous place of the same symbol
     after[by_symbol[:-1][same]] = by_symbol[1:][same]
     prior[by_symbol[1:][same]] = by_symbol[:-1][same]
     open_ = np.ones(n + 1, bool)
     open_[[0, n]] = False
-    heads = np.flatnonzero(np.r_[True, ~same])
-    low, high = heads, np.r_[heads[1:] - 1, n - 1]  # intervals of single symbols: common prefixes of length 0 end here
+    heads = np.flatnonzero(np.concatenate([[True], ~same])).astype(kind)
+    low, high = heads, np.concatenate([heads[1:] - 1, np.array([n - 1], kind)])  # intervals of single symbols: common prefixes of length 0 end here
     low, high = _fresh(open_, low, high)
     # the last interval has no boundary behind it, but its extensions have
-    low, high = np.r_[low, heads[-1]], np.r_[high, n - 1]
+    low, high = np.concatenate([low, heads[-1:]]), np.concatenate([high, np.array([n - 1], kind)])
     for _ in range(1, least):
         if not len(low):
             break
@@ -71,12 +78,14 @@ def long_prefixes(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray
         size = hi - lo + 1
         total = int(size.sum())
         if total:
-            owner = np.repeat(np.arange(len(lo)), size)
-            q = np.arange(total) - np.repeat(np.cumsum(size) - size, size) + lo[owner]
-            ends = after[q] > hi[owner]
-            begins = prior[q] < lo[owner]
+            step = np.ones(total, kind)  # places of all intervals, one after another
+            begin = np.cumsum(size[:-1])
+            step[0], step[begin] = lo[0], lo[1:] - hi[:-1]
+            q = np.cumsum(step, dtype=kind)
+            ends = after[q] > np.repeat(hi, size)
+            begins = prior[q] < np.repeat(lo, size)
             # intervals of one length don't overlap, so their ends in order belong to their begins in order
-            low, high = np.r_[single, np.sort(back[q[begins]])], np.r_[single, np.sort(back[q[ends]])]
+            low, high = np.concatenate([single, np.sort(back[q[begins]])]), np.concatenate([single, np.sort(back[q[ends]])])
         else:
             low, high = single, single
         low, high = _fresh(open_, low, high)

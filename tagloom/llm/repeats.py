@@ -26,7 +26,7 @@ from tagloom.llm.fmindex import word_repeats
 from tagloom.llm.windows import BYTE_HASH, MAX_SYMBOLS, segment_runs
 
 #: Bytes of text that one index is built over; an anchor's segments stay together.
-INDEX_BYTES = 1 << 21
+INDEX_BYTES = 3 << 19
 #: Anchors with more contents than this are settled window by window.
 MANY = 8192
 
