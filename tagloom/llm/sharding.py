@@ -75,12 +75,14 @@ def propagate(groups: DataFrame, total: int, shards: int = SHARDS, rounds: int =
     settled = placed.where("in > 0").select("g", "shard", F.col("in").alias("c")).unionByName(spread(loose, room, buckets))
     state = materialize(settled.groupBy("g", "shard").agg(F.sum("c").alias("c")))
     discard(placed)
-    for _ in range(rounds):
+    for turn in range(rounds):
         room = [q - t for q, t in zip(quota, taken(state, shards), strict=True)]
-        moves = materialize(admitted(state, room, links, buckets))
+        moves = materialize(admitted(state, room, links, buckets, turn))
         if not moves.limit(1).count():
             discard(moves)
-            break
+            if links is None:
+                break
+            continue
         change = moves.select("g", F.col("source").alias("shard"), (-F.col("m")).alias("c")).unionByName(moves.select("g", F.col("target").alias("shard"), F.col("m").alias("c")))
         after = materialize(state.unionByName(change).groupBy("g", "shard").agg(F.sum("c").alias("c")).where("c > 0"))
         discard(moves)
@@ -89,21 +91,24 @@ def propagate(groups: DataFrame, total: int, shards: int = SHARDS, rounds: int =
     return state
 
 
-def admitted(state: DataFrame, room: list[int], links: DataFrame | None, buckets: int) -> DataFrame:
+def admitted(state: DataFrame, room: list[int], links: DataFrame | None, buckets: int, turn: int = 0) -> DataFrame:
     """(g, source, target, m): moves of m rows to the shard with room where the most neighbours are, larger gains first."""
     votes = state.select("g", "shard", F.col("c").cast("double").alias("v"))
     if links is not None:
         both = links.select(F.col("a").alias("g"), F.col("b").alias("h"), "w").unionByName(links.select(F.col("b").alias("g"), F.col("a").alias("h"), "w"))
         theirs = both.join(state.select(F.col("g").alias("h"), "shard", "c"), "h").groupBy("g", "shard").agg(F.sum(F.col("w") * F.col("c")).alias("v"))
         votes = votes.unionByName(theirs).groupBy("g", "shard").agg(F.sum("v").alias("v"))
-    free = _literals(room, "shard")
-    best = votes.where(free > 0).groupBy("g").agg(F.max(F.struct("v", (-F.col("shard")).alias("s"))).alias("x")).select("g", (-F.col("x.s")).alias("target"), F.col("x.v").alias("top"))
-    held = state.join(votes, ["g", "shard"]).join(best, "g").where("target <> shard and v < top")
-    # a shard that holds as many is left only if its number is the larger one, so that nothing moves to and fro
+    # ties go by a hash of group and shard, so that groups don't all lean to one shard and nothing moves to and fro
+    votes = votes.withColumn("k", F.xxhash64("g", "shard"))
+    best = votes.where(_literals(room, "shard") > 0).groupBy("g").agg(F.max(F.struct("v", "k", "shard")).alias("x")).select("g", F.col("x.shard").alias("target"), F.col("x.v").alias("top"), F.col("x.k").alias("tk"))
+    held = state.join(votes, ["g", "shard"]).join(best, "g")
+    if links is None:
+        held = held.where("target <> shard and (v < top or v = top and k < tk)")
+    else:  # a row is no neighbour of its own; half of the groups move at a time, lest linked ones change places
+        held = held.where("target <> shard and v - 1 < top").where(F.pmod(F.xxhash64("g", F.lit(turn)), F.lit(2)) == 0)
     level = F.least(F.lit(LEVELS - 1), F.floor(F.log2(F.col("top") - F.col("v") + 1))).cast("long")
     place = (F.lit(LEVELS - 1) - level) * buckets + F.pmod(F.xxhash64("g"), F.lit(buckets))
-    tied = state.join(votes, ["g", "shard"]).join(best, "g").where("target < shard and v = top")
-    ranked = before(held.unionByName(tied).select("g", "shard", "target", "c", "v", "top"), "target", place, ["g", "shard"], "c")
+    ranked = before(held.select("g", "shard", "target", "c", "v", "top"), "target", place, ["g", "shard"], "c")
     m = F.greatest(F.lit(0), F.least("c", _literals(room, "target") - F.col("before"))).cast("long")
     return ranked.select("g", F.col("shard").alias("source"), "target", m.alias("m")).where("m > 0")
 

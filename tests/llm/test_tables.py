@@ -1,0 +1,190 @@
+"""Operators on small tables with every awkward case, against plain versions."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from tagloom.llm import bpe, components, decontamination, licenses, quality, repeats, secrets, sharding, simhash, toxicity
+
+LONG = " ".join(f"word{i}" for i in range(30000))
+PASSAGE = " ".join(f"passage{i % 37}x{i}" for i in range(60))
+ROWS = [
+    (1, "the quick brown fox jumps over the lazy dog again and again the quick brown fox"), (2, None), (3, ""), (4, LONG), (5, LONG), (5, LONG), (None, "no id here at all"),
+    (6, f"before {PASSAGE} after"), (7, f"other words {PASSAGE} and an end"), (8, "password = hunter2hunter2 under the MIT license"), (9, " \n\t "), (10, "é" * 300), (11, "é" * 300), (12, "x\nx\n \nx y\nx y"),
+]
+SCHEMA = "doc_id long, text string, fp long, toxic string, anchor int, _body string, g string, slot int, found string, n long, tk int"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Columns of the input have names that operators use within."""
+    return spark.createDataFrame([(*r, 1, "t", 2, "b", "g", 3, "f", 4, 5) for r in ROWS], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def by_row(df, *columns):
+    return Counter(tuple(r[c] for c in columns) for r in df.collect())
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def test_measures(docs, none):
+    got = by_row(quality.quality(docs), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+    def plain(text):
+        w = words(text)
+        wins = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        hit = {i + k for i in range(len(w) - 2) if wins[tuple(w[i : i + 3])] > 1 for k in range(3)}
+        lines = [s for s in (text or "").split("\n") if words(s)]
+        return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(hit)
+
+    assert got == Counter((d, *plain(t)) for d, t in ROWS)
+    assert quality.quality(none).count() == 0
+
+
+def test_toxicity(docs, none, spark):
+    labels = spark.createDataFrame([(1, 0), (2, 1), (None, 1), (4, None), (8, 1), (8, 0)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert by_row(toxicity.score_toxicity(docs, model), "doc_id") == Counter((d,) for d, _ in ROWS)
+    assert toxicity.drop_toxic(docs, model).columns == docs.columns
+    empty = toxicity.train(docs, labels.limit(0))
+    assert toxicity.score_toxicity(docs, empty).where("toxic or grade > 0").count() == 0
+    assert toxicity.score_toxicity(none, empty).count() == 0 and toxicity.train(none, labels).weights == {}
+
+
+@pytest.mark.parametrize("shards", [1, 3, 24])
+def test_shards(docs, none, shards):
+    got = sharding.shard(docs, shards).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t in ROWS)
+    sizes = Counter(r["shard"] for r in got)
+    assert all(0 <= s < shards for s in sizes) and max(sizes.values()) - min(sizes.get(s, 0) for s in range(shards)) <= 1
+    for s, n in sizes.items():
+        assert sorted(r.slot for r in got if r["shard"] == s) == list(range(n))
+    assert sharding.shard(none, shards).count() == 0
+
+
+def test_shards_keep_copies_together(spark):
+    rows = [(i, f"text {i // 5}") for i in range(400)] + [(1000 + i, "common") for i in range(300)] + [(2000 + i, f"single {i}") for i in range(300)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 8)
+    per = got.groupBy("text_crc32").agg(F.count_distinct("shard").alias("s"), F.count("*").alias("n")).collect()
+    small = [r.s for r in per if r.n == 5]
+    assert sum(s == 1 for s in small) > 0.9 * len(small)
+    assert max(r.s for r in per if r.n == 300) <= 4  # a shard has room for 125
+    sizes = [r["count"] for r in got.groupBy("shard").count().collect()]
+    assert sizes == [125] * 8
+
+
+def test_links_pull_texts_into_one_shard(spark):
+    rows = [(i, f"text {i}") for i in range(200)]
+    md5 = lambda i: hashlib.md5(f"text {i}".encode()).hexdigest()
+    links = spark.createDataFrame([(md5(i), md5(i + 1), 1.0) for i in range(0, 60, 2)], "a string, b string, w double")
+    got = {r.doc_id: r["shard"] for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 4, links=links).collect()}
+    assert sum(got[i] == got[i + 1] for i in range(0, 60, 2)) > 20 and Counter(got.values()) == Counter({s: 50 for s in range(4)})
+
+
+def test_secrets(docs, none):
+    got = secrets.find_secrets(docs)
+    assert by_row(got, "doc_id") == Counter((d,) for d, _ in ROWS)
+    assert [tuple(s) for s in got.where("doc_id = 8").first().found] == [(0, 25, "assign")]
+    masked = secrets.mask_secrets(docs)
+    assert masked.columns == docs.columns and masked.where("doc_id = 8").first().text == "[secret] under the MIT license"
+    assert by_row(masked.where("doc_id <> 8"), "doc_id", "text") == Counter(r for r in ROWS if r[0] not in (8, None))
+    assert secrets.find_secrets(none).count() == 0
+
+
+def test_licenses(docs, none):
+    got = licenses.find_licenses(docs)
+    assert by_row(got, "doc_id") == Counter((d,) for d, _ in ROWS)
+    assert [tuple(p) for p in got.where("doc_id = 8").first().places] == [(2, "mit")]
+    assert licenses.find_licenses(none).count() == 0
+
+
+def test_bpe(docs, none):
+    got = bpe.encode_texts(docs)
+    assert by_row(got, "doc_id", "decoded") == Counter((d, t or "") for d, t in ROWS)
+    assert bpe.encode_texts(none).count() == 0
+
+
+def plain_classes(rows, radius):
+    from test_texts import plain_fingerprint, roots
+
+    f = [plain_fingerprint(t or "") for _, t in rows]
+    ids = roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (f[i] ^ f[j]).bit_count() <= radius])
+    first: dict = {}
+    for (d, _), g in zip(rows, ids, strict=True):
+        first[g] = min((x for x in (first.get(g), d) if x is not None), default=None)
+    return Counter((d, format(x, "016x"), first[g]) for (d, _), x, g in zip(rows, f, ids, strict=True))
+
+
+@pytest.mark.parametrize("blocks", [None, 5, 7])
+def test_near_duplicates(docs, none, blocks):
+    got = simhash.near_duplicates(docs, blocks=blocks).withColumn("fp", simhash.hex_digits(F.col("fp")))
+    assert by_row(got, "doc_id", "fp", "component_id") == plain_classes(ROWS, simhash.RADIUS)
+    assert simhash.near_duplicates(none).count() == 0
+
+
+def test_one_of_each_class_stays(spark, docs):
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(base[:i] + ["edit"] + base[i + 1 :])) for i in range(20)] + [(100 + i, " ".join(f"d{i}x{k}" for k in range(100))) for i in range(30)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 5, similarity=0.8)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, *range(100, 130)]
+    odd = simhash.keep_one(docs, 5, similarity=0.8)
+    assert odd.columns == docs.columns
+    ids = [r.doc_id for r in odd.collect()]
+    assert ids.count(None) == 1 and sorted(i for i in ids if i is not None) == [1, 2, 4, 6, 8, 10, 12]
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (100, 100), (100, 99), (None, 5)] + [(200, 201 + i) for i in range(30)], "a long, b long")
+    got = {r.node: r.root for r in components.components(edges).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 99: 99, 100: 99, **{200 + i: 200 for i in range(31)}}
+    assert components.components(edges.limit(0)).count() == 0
+
+
+def plain_removal(rows, unit):
+    cut = (lambda t: tuple((t or "").encode().split())) if unit.words else (lambda t: (t or "").encode())
+    seen = Counter(s[i : i + unit.window] for _, t in rows for s in [cut(t)] for i in range(len(s) - unit.window + 1))
+    out: Counter = Counter()
+    for d, t in rows:
+        s = cut(t)
+        gone = {i + k for i in range(len(s) - unit.window + 1) if seen[s[i : i + unit.window]] > 1 for k in range(unit.window)}
+        rest = [x if unit.words else bytes([x]) for i, x in enumerate(s) if i not in gone]
+        out[d, len(s), len(gone), sum(i - 1 not in gone for i in gone), hashlib.sha256((b" " if unit.words else b"").join(rest)).hexdigest()] += 1
+    return out
+
+
+@pytest.mark.parametrize("unit", [repeats.Unit(True, 35, 8), repeats.Unit(False, 200, 32), repeats.Unit(True, 5, 2), repeats.Unit(False, 12, 4)])
+@pytest.mark.parametrize("many", [repeats.MANY, 1])
+def test_repeats(docs, none, unit, many):
+    if unit.window * 100 < len(LONG) and not unit.words:
+        docs = docs.where("length(text) < 5000 or text is null")
+    rows = [r for r in ROWS if (r[0], r[1]) in {(x.doc_id, x.text) for x in docs.select("doc_id", "text").collect()}]
+
+    def digest(line, begins, n, spans):
+        return n, sum(b - a for a, b in spans), len(spans), hashlib.sha256(repeats.kept(line, begins, n, spans)).hexdigest()
+
+    made = lambda d: repeats.without_repeats(d, unit, "n_all long, n_removed long, n_spans long, sha string", digest, many=many)
+    assert by_row(made(docs), "doc_id", "n_all", "n_removed", "n_spans", "sha") == plain_removal(rows, unit)
+    assert made(none).count() == 0
+
+
+def test_contamination(docs, none, spark):
+    bench = spark.createDataFrame([(1, PASSAGE), (2, None), (3, ""), (4, "nowhere " * 40), (1, PASSAGE)], "item_id long, text string")
+    got = decontamination.contaminated(docs, bench)
+    assert by_row(got.distinct(), "doc_id", "item_id", "edits") == Counter({(6, 1, 0): 1, (7, 1, 0): 1})
+    clean = decontamination.decontaminate(docs, bench)
+    assert clean.columns == docs.columns and by_row(clean, "doc_id") == Counter((d,) for d, _ in ROWS if d not in (6, 7))
+    assert decontamination.contaminated(none, bench).count() == 0
+    assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
+    blocks = list(decontamination.blocks(bench, 500))
+    assert sum(map(len, blocks)) == 4 and len(blocks) > 1
