@@ -92,7 +92,7 @@ def edges(spark, sf_dir: str) -> DataFrame:
 
 #: Impressions: for each order the lines as results; those returned count as clicked.
 RESULTS = """results AS (SELECT CAST(o_custkey AS VARCHAR) AS uid, o_orderpriority AS query, l_orderkey AS imp, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rank, 'Part ' || CAST(l_partkey AS VARCHAR) || ' ' AS title, 'http://p/' || CAST(l_partkey AS VARCHAR) AS url,
-round(l_extendedprice / 1000, 3) AS bm25, l_quantity AS f6, l_discount AS f8, l_tax AS f13, CASE l_linestatus WHEN 'O' THEN 'blog' ELSE 'wiki' END AS doc_type, CAST(epoch(l_shipdate) AS DOUBLE) AS modified, l_returnflag AS flag
+l_extendedprice / 1000 AS bm25, l_quantity AS f6, l_discount AS f8, l_tax AS f13, CASE l_linestatus WHEN 'O' THEN 'blog' ELSE 'wiki' END AS doc_type, CAST(epoch(l_shipdate) AS DOUBLE) AS modified, l_returnflag AS flag
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 CLICKS = """clicks AS (SELECT DISTINCT uid, query, upper(title) AS title, CASE WHEN rank % 2 = 0 THEN url ELSE ' ' END AS url FROM results WHERE flag = 'R')"""
 
@@ -103,7 +103,7 @@ def results(spark, sf_dir: str) -> DataFrame:
     part = F.col("l_partkey").cast("string")
     return lines.select(
         F.col("o_custkey").cast("string").alias("uid"), F.col("o_orderpriority").alias("query"), F.col("l_orderkey").alias("imp"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).cast("long").alias("rank"), F.concat(F.lit("Part "), part, F.lit(" ")).alias("title"), F.concat(F.lit("http://p/"), part).alias("url"),
-        F.round(F.col("l_extendedprice") / 1000, 3).alias("bm25"), F.col("l_quantity").alias("f6"), F.col("l_discount").alias("f8"), F.col("l_tax").alias("f13"), F.when(F.col("l_linestatus") == "O", "blog").otherwise("wiki").alias("doc_type"), F.col("l_shipdate").cast("timestamp").cast("double").alias("modified"), F.col("l_returnflag").alias("flag"),
+        (F.col("l_extendedprice") / 1000).alias("bm25"), F.col("l_quantity").alias("f6"), F.col("l_discount").alias("f8"), F.col("l_tax").alias("f13"), F.when(F.col("l_linestatus") == "O", "blog").otherwise("wiki").alias("doc_type"), F.col("l_shipdate").cast("timestamp").cast("double").alias("modified"), F.col("l_returnflag").alias("flag"),
     )
 
 
