@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from tagloom.functions.text import is_blank, strip
 
 #: Schema of a search log; results hold what a result page showed, in order.
-LOG_RESULT = T.StructType.fromDDL("title string, url string, bm25 double, doc_type string, modified double, features map<string,double>")
+LOG_RESULT = "title string, url string, bm25 double, doc_type string, modified double, features map<string,double>"
 
 
 def read_lines(spark: SparkSession, path: str, blanks: bool = False) -> DataFrame:
