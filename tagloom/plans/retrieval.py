@@ -278,11 +278,11 @@ def feature_stats(spark, sf_dir):
     return ranking.feature_stats(results(spark, sf_dir).withColumn("one", F.lit(1.0)), ["f6", "f8", "one"]).withColumn("mean", F.round("mean", 6))
 
 
-@query("rerank_closed_form", f"WITH {RESULTS} SELECT imp, rank, round(bm25 * (1 + 0.1 * CASE doc_type WHEN 'blog' THEN 0.5 ELSE 1 END) * (1 + CASE flag WHEN 'R' THEN 1 ELSE 0 END * (CAST(0.2 AS DOUBLE) / (6.43e-8 * greatest((1800000000 - greatest(modified, 1000000000)) / 86400.0, 0) + 1) + 0.8)), 6) AS score FROM results")
+@query("rerank_closed_form", f"WITH {RESULTS} SELECT imp, rank, round(bm25 * (1 + 0.1 * CASE doc_type WHEN 'blog' THEN 0.5 ELSE 1 END) * (1 + CASE flag WHEN 'R' THEN 1 ELSE 0 END * (CAST(0.2 AS DOUBLE) / (6.43e-8 * greatest((1800000000 - greatest(modified, 1000000000)) / 86400.0, 0) + 1) + 0.8)), 8) AS score FROM results")
 def rerank_closed_form(spark, sf_dir):
     r = results(spark, sf_dir)
     score = ranking.closed_form(F.col("bm25"), F.when(F.col("flag") == "R", 1).otherwise(0), F.when(F.col("doc_type") == "blog", 0.5).otherwise(1.0), ranking.age_days(F.lit(1.8e9), F.col("modified").cast("string"), F.lit(None).cast("string")), constant=0.1)
-    return r.select("imp", "rank", F.round(score, 6).alias("score"))
+    return r.select("imp", "rank", F.round(score, 8).alias("score"))
 
 
 @query(

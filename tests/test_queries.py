@@ -23,7 +23,7 @@ def sql():
 
 
 def plain(v):
-    return "" if v is None else repr(round(v, 6) + 0.0) if isinstance(v, float) else str(v)
+    return "" if v is None else repr(v + 0.0) if isinstance(v, float) else str(v)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
