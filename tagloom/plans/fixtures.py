@@ -25,8 +25,9 @@ UNION SELECT DISTINCT lower(regexp_extract(text, '^([A-Za-z]+ [A-Za-z]+)', 1)) F
 
 
 def documents(spark, sf_dir: str) -> DataFrame:
-    """Documents dealt evenly, since a small file is one task."""
-    return load(spark, sf_dir, "documents").select("doc_id", "text")
+    """Documents; those of a file too small to give every core a task are dealt evenly, larger inputs stay as they are."""
+    docs, cores = load(spark, sf_dir, "documents").select("doc_id", "text"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
 def word_counts(spark, sf_dir: str) -> DataFrame:
