@@ -42,12 +42,12 @@ def document_terms(docs: DataFrame, entries: DataFrame, tokenize, doc: str = "do
 
 
 def search(queries: DataFrame, entries: DataFrame, nodes: DataFrame, edges: DataFrame, idx: index.Index, tokenize, limit: int = 100, b: float = B) -> Found:
-    """Answers to all queries (qid, text) in one plan."""
+    """Answers to all queries (qid, text) in one plan; all postings of a term count."""
     terms = query_terms(queries, entries, tokenize)
     seeds = graph.known_nodes(terms, nodes).select("qid", F.col("term").alias("seed")).distinct()
     reached = graph.expand(seeds, edges)
     weights = graph.query_weights(terms, nodes, reached)
-    return Found(weights, graph.explain(weights, reached), index.top(index.score(idx, weights, b=b), limit))
+    return Found(weights, graph.explain(weights, reached), index.top(index.score(idx, weights, b=b, cap=None), limit))
 
 
 def levels(weights: DataFrame, terms: DataFrame) -> DataFrame:

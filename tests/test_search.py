@@ -7,7 +7,9 @@ from collections import Counter, defaultdict
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from tagloom.operators import index, search
 from tagloom.plans.registry import QUERIES
 from tagloom.plans import retrieval  # noqa: F401
 
@@ -81,3 +83,13 @@ def test_every_item_is_searched(spark, small):
     assert {(r.qid, r.term): r.level for r in QUERIES["highlight_levels_all"](spark, at).collect()} == levels
     assert {r.qid for r in QUERIES["best_paths"](spark, at).select("qid").collect()} - set(range(10))
     assert {r.qid for r in QUERIES["render_results"](spark, at).collect()} == set(range(14))
+
+
+def test_common_terms_are_read_whole(spark):
+    """A term in more documents than the read cap of the reference."""
+    n = index.READ_CAP + 50
+    tf = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("x").alias("term"), F.lit(1).cast("long").alias("tf"))
+    empty = spark.createDataFrame([], "node string, surface string, weight long, tp string, u string, v string, w double")
+    asked = spark.createDataFrame([(1, "x")], "qid int, text string")
+    found = search.search(asked, empty.select("surface", "weight"), empty.select("node"), empty.select("tp", "u", "v", "w"), index.build(tf), retrieval.fn.words, limit=2 * n)
+    assert found.hits.count() == n
