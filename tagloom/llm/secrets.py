@@ -29,10 +29,14 @@ ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+#: Line breaks of a body may be written as escapes, as in JSON, where slashes may be escaped too.
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\+[nr/])+)-----END \1-----")
+PEM_BREAKS = re.compile(r"\s+|\\+[nr]|\\+(?=/)")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
 #: DER starts with 0x30 0x8x or 0x30 and a short length; both give "M" as the first letter in base64.
-BLOB = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:M[A-P]|MI)[A-Za-z0-9+/_-]{40,}={0,2}")
+#: It may follow "=" or "-", so a run has further starts at its hyphens.
+BLOB = re.compile(r"(?<![A-Za-z0-9+/_])M[A-P][A-Za-z0-9+/_-]{40,}={0,2}")
+BLOB_STARTS = re.compile(r"(?<=-)M[A-P]")
 HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{80,}(?![0-9A-Fa-f])")
 SSH = re.compile(r"(?<![A-Za-z0-9+/])(?:AAAA[A-Za-z0-9+/]{40,}|b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/]{40,})={0,2}")
 #: Name prefixes of public key blobs and the magic of private ones.
@@ -52,12 +56,15 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     out: list[tuple[int, int, str]] = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            if is_key(decode64("".join(m[2].split()))):
+            if is_key(decode64(PEM_BREAKS.sub("", m[2]))):
                 out.append((m.start(), m.end(), "pem_key"))
-    for kind, pattern, holds in (("signed_token", TOKEN, is_signed_token), ("der_key", BLOB, lambda s: is_der_key(decode64(s))), ("der_key", HEX_DER, lambda s: len(s) % 2 == 0 and is_der_key(bytes.fromhex(s))), ("ssh_key", SSH, lambda s: is_ssh(decode64(s)))):
+    for kind, pattern, holds in (("signed_token", TOKEN, is_signed_token), ("der_key", HEX_DER, lambda s: len(s) % 2 == 0 and is_der_key(bytes.fromhex(s))), ("ssh_key", SSH, lambda s: is_ssh(decode64(s)))):
         for m in pattern.finditer(text):
             if not any(a <= m.start() < b for a, b, k in out if k == "pem_key") and holds(m[0]):
                 out.append((m.start(), m.end(), kind))
+    for m in BLOB.finditer(text):
+        if not any(a <= m.start() < b for a, b, k in out if k == "pem_key") and (a := der_start(m[0])) is not None:
+            out.append((m.start() + a, m.end(), "der_key"))
     return out
 
 
@@ -75,6 +82,21 @@ def decode64(s: str) -> bytes:
         return b""
 
 
+def der_start(run: str) -> int | None:
+    """Where a base64 key begins that ends with the run: at its start or after a hyphen."""
+    n = len(run.rstrip("="))
+    for a in (0, *(m.start() for m in BLOB_STARTS.finditer(run))):
+        # the length in the header tells most starts off before all is decoded
+        head = decode64(run[a : a + 8])
+        if len(head) < 6:
+            continue
+        width = head[1] & 0x7F if head[1] & 0x80 else 0
+        size = 2 + width + (int.from_bytes(head[2 : 2 + width]) if width else head[1])
+        if width <= 4 and size == (n - a) * 3 // 4 and is_der_key(decode64(run[a:])):
+            return a
+    return None
+
+
 def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
     """(tag, content) of values that lie one after another; None unless every length fits exactly."""
     items, at = [], 0

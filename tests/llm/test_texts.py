@@ -84,6 +84,26 @@ def test_structures_are_confirmed():
     assert secrets.spans("") == []
 
 
+def test_keys_after_signs_and_with_written_breaks():
+    rng = random.Random(8)
+    number = lambda n: der(2, b"\x01" + rng.randbytes(n))
+    rsa = der(0x30, der(2, b"\0"), number(128), der(2, b"\1\0\1"), *(number(64) for _ in range(6)))
+    pkcs8 = der(0x30, der(2, b"\0"), der(0x30, der(6, b"\x2a\x86\x48"), der(5)), der(4, rsa))
+    for key in (rsa, pkcs8):
+        s = base64.b64encode(key).decode()
+        url = s.translate({43: 45, 47: 95})
+        for before in ("PRIVATE_KEY=", "key=", "key==", "a-", "MAC-", "MAC-MIIB-", "'", ": ", "--"):
+            for text in (s, url):
+                assert (len(before), len(before) + len(text), "der_key") in secrets.spans(f"{before}{text}\n"), before
+        assert not secrets.confirmed_spans(f"key={s[:60]}A{s[60:]}") and not secrets.confirmed_spans("key=" + "-MIIB" * 9000)
+        for brk in ("\\n", "\\r\\n", "\\\\n", "\n"):
+            for body in (s, s.replace("/", "\\/")):
+                pem = f"-----BEGIN PRIVATE KEY-----{brk}" + brk.join(body[i : i + 64] for i in range(0, len(body), 64)) + f"{brk}-----END PRIVATE KEY-----"
+                if "\\" in body[63::64]:
+                    continue  # an escape cut in two
+                assert secrets.confirmed_spans(f'{{"k": "{pem}"}}') == [(7, 7 + len(pem), "pem_key")], brk
+
+
 # -- licenses
 
 
