@@ -1,9 +1,10 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Benchmark items become passages of ``length`` normal characters.  A text region within k edits of a passage of m
-characters shares at least m - q + 1 - k q of its q-grams, on diagonals that spread over at most k.  Windows with
-fewer shared q-grams are passed over; in the others q-grams are counted in overlapping diagonal bands, and bands
-that reach the bound are verified by banded alignment.
+A passage is any stretch of ``length`` normal characters of a benchmark item, at whatever offset, or all of a shorter
+item.  A text region within k edits of a passage of m characters shares at least m - q + 1 - k q of its q-grams, on
+diagonals that spread over at most k.  Windows with fewer shared q-grams are passed over; in the others the q-grams
+of whole items are counted in overlapping diagonal bands, and all passages that reach the bound in a band are
+verified by banded alignment, many at a time.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ _STEP = np.random.default_rng(7).integers(0, 2**63, 64, dtype=np.uint64) * np.ui
 
 @dataclass(frozen=True)
 class Rule:
-    """length, step: of passages in normal characters; edit_rate: edits for each character; q: size of a gram."""
+    """length: of passages in normal characters; step: of passages of one stretch as they are counted; edit_rate: edits for each character; q: size of a gram."""
 
     length: int = 120
     step: int = 60
@@ -66,24 +67,14 @@ def grams(line: bytes, q: int) -> np.ndarray:
     return mix(out)
 
 
-def passages(items: list[tuple[int, str]], rule: Rule) -> list[tuple[int, bytes]]:
-    """(item, passage) of each item: all of it, or overlapping parts; items without a whole q-gram give none."""
-    out = []
-    for item, text in items:
-        line = normal(text or "")
-        if len(line) < rule.q:
-            continue
-        last = max(0, len(line) - rule.length)
-        out += [(item, line[a : a + rule.length]) for a in [*range(0, last, rule.step), last]]
-    return out
-
-
 class Index:
-    """Passages with their grams, and a table of bits that tells which hashes may be among them."""
+    """Items with their grams, and a table of bits that tells which hashes may be among them."""
 
     def __init__(self, items: list[tuple[int, str]], rule: Rule):
-        self.rule, self.passages = rule, passages(items, rule)
-        made = [grams(p, rule.q) for _, p in self.passages]
+        self.rule = rule
+        lines = ((item, normal(text or "")) for item, text in items)
+        self.items = [(item, line) for item, line in lines if len(line) >= rule.q]
+        made = [grams(line, rule.q) for _, line in self.items]
         keys = np.concatenate(made) if made else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(made)), [len(g) for g in made])
         offset = np.concatenate([np.arange(len(g)) for g in made]) if made else np.zeros(0, np.int64)
@@ -93,12 +84,12 @@ class Index:
         self.shift = np.uint64(64 - bits)
         self.table = np.zeros(1 << bits, bool)
         self.table[keys >> self.shift] = True
-        lengths = [len(p) for _, p in self.passages]
+        lengths = [min(len(line), rule.length) for _, line in self.items]
         self.least = min((rule.shared(m) for m in lengths), default=1)
         self.span = max((m + rule.edits(m) for m in lengths), default=0)
 
-    def find(self, line: bytes) -> list[tuple[int, int, int, int]]:
-        """(item, start, end, edits) of each passage and band that matches in a normal line."""
+    def find(self, line: bytes) -> list[tuple[int, int, int, int, int]]:
+        """(item, start, end, fewest edits, passages) of each stretch of an item that matches in a normal line."""
         h = grams(line, self.rule.q)
         if not len(h) or not len(self.keys):
             return []
@@ -119,7 +110,7 @@ class Index:
         rows = np.repeat(low - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
         return self._bands(line, self.owner[rows], self.offset[rows], at)
 
-    def _bands(self, line: bytes, owner: np.ndarray, offset: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
+    def _bands(self, line: bytes, owner: np.ndarray, offset: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         found = []
         if not len(owner):
             return found
@@ -127,25 +118,83 @@ class Index:
         owner, offset, at = owner[order], offset[order], at[order]
         cuts = np.flatnonzero(np.r_[True, np.diff(owner) != 0])
         for a, b in zip(cuts, np.r_[cuts[1:], len(owner)], strict=True):
-            item, passage = self.passages[owner[a]]
-            k, least = self.rule.edits(len(passage)), self.rule.shared(len(passage))
+            item, text = self.items[owner[a]]
+            m = min(len(text), self.rule.length)
+            k, least = self.rule.edits(m), self.rule.shared(m)
             if b - a < least:
                 continue
             diagonal, width = at[a:b] - offset[a:b], k + 1
             band = np.floor_divide(diagonal, width)
             bands = np.concatenate([band, band - 1])  # band n holds diagonals from n * width over 2 * width
-            pairs = np.unique(np.stack([bands, np.tile(offset[a:b], 2)]), axis=1)[0]
-            numbers, counts = np.unique(pairs, return_counts=True)
-            seen = None
-            for n in numbers[counts >= least]:
+            pairs = np.unique(np.stack([bands, np.tile(offset[a:b], 2)]), axis=1)
+            numbers, first, counts = np.unique(pairs[0], return_index=True, return_counts=True)
+            seen, matched = None, np.zeros(0, np.int64)
+            for n, f, c in zip(numbers.tolist(), first.tolist(), counts.tolist(), strict=True):
+                if c < least:
+                    continue
+                starts = crowded(pairs[1, f : f + c], least, m - self.rule.q, len(text) - m)
                 if seen is not None and n - seen == 1:
-                    continue  # the neighbour overlaps a band that matched
-                if hit := align(passage, line, int(n) * width, 2 * width, k):
-                    found.append((item, *hit))
-                    seen = n
+                    starts = starts[~np.isin(starts, matched)]  # the neighbour overlaps a band where these matched
+                begin, end, edits = align_all(text, starts, m, line, n * width, 2 * width, k)
+                good = edits <= k
+                starts, begin, end, edits = starts[good], begin[good], end[good], edits[good]
+                seen, matched = n, starts
+                if len(starts):
+                    for run in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(starts) > 1) + 1):
+                        passages = 1 - (int(starts[run[0]]) - int(starts[run[-1]])) // self.rule.step
+                        found.append((item, int(begin[run].min()), int(end[run].max()), int(edits[run].min()), passages))
         return found
 
 
+def crowded(offsets: np.ndarray, least: int, span: int, last: int) -> np.ndarray:
+    """Starts from 0 to ``last`` with ``least`` or more of the sorted different offsets within ``span`` after them."""
+    i, j = offsets[: len(offsets) - least + 1], offsets[least - 1 :]
+    near = j - i <= span
+    low, high = np.maximum(j[near] - span, 0), np.minimum(i[near], last)
+    some = low <= high
+    low, high = low[some], high[some]
+    if not len(low):
+        return np.zeros(0, np.int64)
+    # both ends rise, so what is new in each range lies past the one before
+    low = np.maximum(low, np.r_[0, high[:-1] + 1])
+    size = np.maximum(high - low + 1, 0)
+    return np.repeat(low - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+
+
+def align_all(item: bytes, starts: np.ndarray, m: int, line: bytes, diagonal: int, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """start, end and edits of the closest region of ``line`` for each passage of m characters of ``item`` from ``starts``.
+
+    As :func:`align` with the diagonals of the whole item, over all passages at once; edits are over k where there
+    is no region.
+    """
+    low, size = diagonal - k, width + 2 * k + 1
+    big = k + m + len(line) + 1
+    begin, end, edits = (np.zeros(len(starts), np.int64) for _ in range(3))
+    chars, text = np.frombuffer(item, np.uint8), np.frombuffer(line, np.uint8)
+    step = np.arange(size)
+    for c in range(0, len(starts), 1024):
+        a = starts[c : c + 1024, None]
+        position = a + low + step
+        cost = np.where((position >= 0) & (position <= len(line)), 0, big)
+        start = position
+        for i in range(m):
+            here = position + i
+            inside = (here >= 0) & (here < len(line))
+            same = cost + ((text[np.where(inside, here, 0)] != chars[a + i]) | ~inside)
+            up, before = np.full(cost.shape, big), np.zeros(cost.shape, np.int64)
+            up[:, :-1], before[:, :-1] = cost[:, 1:] + 1, start[:, 1:]
+            best = np.minimum(same, up)
+            origin = np.where(same <= up, start, before)
+            run = np.minimum.accumulate(best - step, axis=1)
+            source = np.maximum.accumulate(np.where(best - step == run, step, 0), axis=1)
+            cost, start = run + step, np.take_along_axis(origin, source, axis=1)
+            cost = np.where((here + 1 >= 0) & (here + 1 <= len(line)), cost, big)
+        d = np.argmin(cost, axis=1)
+        rows = np.arange(len(d))
+        begin[c : c + 1024], end[c : c + 1024], edits[c : c + 1024] = start[rows, d], position[rows, d] + m, cost[rows, d]
+    return begin, end, edits
+
+
 def align(passage: bytes, line: bytes, diagonal: int, width: int, k: int) -> tuple[int, int, int] | None:
     """(start, end, edits) of the closest region of ``line`` within k edits whose path stays in a band of diagonals."""
     low = diagonal - k
@@ -193,7 +242,8 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_CHARS):
 def contaminated(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:  # noqa: B008
     """A row for each document and benchmark item with a match: ``keep``, item_id, n_passages, edits, start_word, end_word.
 
-    Words are those of the normal form, counted from 0, ends exclusive; edits are the fewest of a passage.  Texts
+    Words are those of the normal form, counted from 0, ends exclusive; edits are the fewest of a passage; passages
+    that follow one another are counted at the rule's step, the first and last always.  Texts
     without a match, null and empty ones give no row; repeated documents give repeated rows, repeated items each
     their own.  Only a block of the benchmark is held at a time, and every block meets every document.
     """
@@ -211,7 +261,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), tex
                 for item, hits in sorted(by_item.items()):
                     a, b = min(h[0] for h in hits), max(h[1] for h in hits)
                     at.append(i)
-                    out.append((item, len(hits), min(h[2] for h in hits), line.count(b" ", 0, a), line.count(b" ", 0, b) + 1))
+                    out.append((item, sum(h[3] for h in hits), min(h[2] for h in hits), line.count(b" ", 0, a), line.count(b" ", 0, b) + 1))
             if not at:
                 return None
             chosen = batch.take(pa.array(at))

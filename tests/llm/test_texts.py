@@ -260,6 +260,40 @@ def test_edited_passages_are_found_and_others_not():
     assert not index.find(decontamination.normal(" ".join(word() for _ in range(3000)))) and not index.find(b"")
 
 
+def test_excerpts_are_found_at_every_offset():
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("aeioukstr") for _ in range(rng.randint(2, 9)))
+    texts = [decontamination.normal(" ".join(word() for _ in range(40))) for _ in range(5)]
+    index = decontamination.Index([(i, t.decode()) for i, t in enumerate(texts)], decontamination.Rule())
+    around = [" ".join(word() for _ in range(20)).encode() for _ in range(2)]
+    for i, t in enumerate(texts):
+        for a in range(0, len(t) - 120, 7):
+            for n in (120, 155):
+                part = bytearray(t[a : a + n])
+                assert (i, 0) in {(h[0], h[3]) for h in index.find(around[0] + b" " + part + b" " + around[1])}
+                for _ in range(3):  # three edits are within the budget of every passage
+                    at = rng.randrange(len(part))
+                    part[at : at + rng.randint(0, 1)] = b"z"
+                if len(part) >= 120:
+                    assert i in {h[0] for h in index.find(around[0] + b" " + bytes(part) + b" " + around[1])}
+        assert not index.find(around[0] + b" " + t[20:90] + b" " + around[1])
+
+
+def test_alignments_together_are_those_alone():
+    rng = random.Random(12)
+    for _ in range(40):
+        item = bytes(rng.choice(b"abcd") for _ in range(60))
+        s = bytearray(item)
+        for _ in range(rng.randint(0, 6)):
+            i = rng.randrange(len(s))
+            s[i : i + rng.randint(0, 1)] = rng.choice([b"", b"x", b"yy"])
+        line, starts = bytes(rng.choice(b"efgh") for _ in range(rng.randint(0, 9))) + bytes(s), np.arange(31)
+        got = decontamination.align_all(item, starts, 30, line, 0, 8, 5)
+        for a, edits in zip(starts.tolist(), got[2].tolist(), strict=True):
+            alone = decontamination.align(item[a : a + 30], line, a, 8, 5)
+            assert (alone[2] if alone else 6) == min(edits, 6)
+
+
 # -- toxicity and quality
 
 
