@@ -129,8 +129,8 @@ def phrase_topk(spark, sf_dir):
 
 @query("textrank")
 def textrank(spark, sf_dir):
-    sentences = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("sentence"), fn.words("text").alias("tokens"))
-    return phrases.text_rank(sentences).withColumn("weight", F.round("weight", 6))
+    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "x"))
+    return phrases.text_rank(rows.select(F.struct("doc_id", "line").alias("sentence"), fn.words("x").alias("tokens"))).select("sentence.doc_id", "sentence.line", "token", "weight").withColumn("weight", F.round("weight", 6))
 
 
 # -- relations
