@@ -190,22 +190,24 @@ def word_graph(spark, sf_dir, tf):
     return common.select(F.col("term").alias("node")), settle(counted.where("w >= 0.03").select(F.lit("KGm").alias("tp"), "u", "v", "w"))
 
 
-#: Items that the SQL of kg_search and highlight_levels takes, since its recursion is slow; other queries take all.
+#: Items that the SQL of kg_search and highlight_levels takes, since its recursion is slow; its index has words only.
+#: The other queries take all items and an index with dictionary hits.
 SQL_ITEMS = "item_id < 10"
 
 
-def searched(spark, sf_dir, items="true"):
-    """What is found for the benchmark items that ``items`` admits, and the index."""
+def searched(spark, sf_dir, items="true", tags=True):
+    """What is found for the benchmark items that ``items`` admits, and the index of words and, with ``tags``, dictionary hits."""
     tf = settle(word_counts(spark, sf_dir))
     nodes, links = word_graph(spark, sf_dir, tf)
-    idx = index.build(tf)
+    marks = settle(entries(spark, sf_dir, tf))
+    idx = index.build(search.document_terms(documents(spark, sf_dir), marks, fn.words) if tags else tf)
     asked = load(spark, sf_dir, "benchmark").where(items).select(F.col("item_id").alias("qid"), "text")
-    return search.search(asked, settle(entries(spark, sf_dir, tf)), nodes, links, idx, fn.words), idx
+    return search.search(asked, marks, nodes, links, idx, fn.words), idx
 
 
 @query("kg_search", f"WITH RECURSIVE {SEARCH} SELECT qid, doc_id, rank, round(score, 4) AS score FROM hits WHERE rank <= 20")
 def kg_search(spark, sf_dir):
-    return best_hits(searched(spark, sf_dir, SQL_ITEMS)[0])
+    return best_hits(searched(spark, sf_dir, SQL_ITEMS, tags=False)[0])
 
 
 @query("kg_search_all")
@@ -219,7 +221,7 @@ def best_hits(found):
 
 @query("highlight_levels", f"WITH RECURSIVE {SEARCH} SELECT qid, term, CAST(floor(least(greatest(weight * idf * 0.25, 0), 1) * 200 + 55 + 1e-9) AS INTEGER) AS level, round(idf / 16, 6) AS pw FROM gw JOIN idf USING (term)")
 def highlight_levels(spark, sf_dir):
-    found, idx = searched(spark, sf_dir, SQL_ITEMS)
+    found, idx = searched(spark, sf_dir, SQL_ITEMS, tags=False)
     return search.levels(found.terms, idx.terms).withColumn("pw", F.round("pw", 6))
 
 

@@ -42,7 +42,7 @@ def brute(docs, items):
     for (u, v), n in pairs.items():
         if n / total[u] >= 0.03:
             edges[u].append((v, n / total[u] * 0.7))
-    tf = [Counter(w) for w in words]
+    tf = [Counter(w + hits(re.sub(" +", " ", d.lower()), entries)) for w, d in zip(words, docs)]
     dl = [sum(c.values()) for c in tf]
     df = Counter(t for c in tf for t in c)
     idf = {t: math.log(max((len(docs) - n + 0.5) / (n + 0.5), 1.0001)) for t, n in df.items()}
@@ -71,6 +71,7 @@ def brute(docs, items):
         score = {d: s for d, s in score.items() if any(tf[d][t] for t, w in weight.items() if w)}
         for rank, d in enumerate(sorted(score, key=lambda d: (-round(score[d], 6), d))[:20], 1):
             found[q, d] = (rank, score[d])
+    assert any(t in idf and " " in t for _, t in levels)  # two-word hits meet postings
     return levels, found
 
 
