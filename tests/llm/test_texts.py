@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import tokenizers
 from hypothesis import given, settings
@@ -25,24 +26,32 @@ def reference():
     return tokenizers.Tokenizer.from_file(bpe.default_path())
 
 
-@pytest.mark.parametrize("leaf", [8, 64, 4096])
+@pytest.mark.parametrize("leaf", [4, 8, 64, 512])
 def test_bpe_equals_the_library(reference, leaf):
-    codec, rng = bpe.Codec(leaf=leaf), random.Random(leaf)
-    parts = ["a", "b", "ab", "é", "  ", "\n", " ", "<|endoftext|>", "the", "ing", "中", "1", "!", "'s", "́", "\x85", "😀", " "]
-    texts = ["", " ", "a" * 5000, "ab" * 3000, " " * 3000, " " * 999 + "x", "=-" * 4000, "x" + "\n" * 3000 + "y", "aaab" * 999, "".join(rng.choice("etaoin") for _ in range(9000))]
+    codec, rng = bpe.Codec(leaf=leaf, window=1 if leaf < 64 else bpe.WINDOW), random.Random(leaf)
+    parts = ["a", "b", "ab", "é", "  ", "\n", " ", "<|endoftext|>", "the", "ing", "中", "1", "!", "'s", "'", "''", "'re", "'ll", "\u0301", "\x85", "\x1c", "\u200b", "\u00a0", "\t", "😀", "ก", "٣", "½", "\u0378"]
+    texts = ["", " ", "a" * 5000, "ab" * 3000, " " * 3000, " " * 999 + "x", "=-" * 4000, "x" + "\n" * 3000 + "y", "aaab" * 999, "".join(rng.choice("etaoin") for _ in range(9000)), "中文" * 2000, "😀" * 900, "'" * 700 + "s" * 700]
     texts += ["".join(rng.choice(rng.sample(parts, 5)) for _ in range(rng.randint(1, 400))) for _ in range(300)]
-    for t in texts:
-        ids = codec.encode(t)
+    texts += ["".join(rng.choice(few) for _ in range(rng.randint(1, 200))) for _ in range(150) for few in [rng.sample(parts, 3)]]
+    for t, ids in zip(texts, codec.encode_all(texts), strict=True):
         assert ids == reference.encode(t, add_special_tokens=False).ids, t[:80]
         assert codec.decode(ids) == reference.decode(ids, skip_special_tokens=False) == t
 
 
 def test_bpe_joins_agree_for_any_cut(reference):
     codec = bpe.Codec(window=1)
-    text = b"internationalizationofunsplitwords" * 9
-    whole = codec.unit(text)
-    for cut in range(1, len(text), 7):
-        assert codec.join(codec.unit(text[:cut]), codec.unit(text[cut:])) == whole
+    for text in ("internationalizationofunsplitwords" * 9, "it's 12's''s  \t x  " * 9, "....''llre!!!9 " * 6, " \n\n  a" * 20):
+        data, whole = text.encode(), reference.encode(text, add_special_tokens=False).ids
+        for cut in range(1, len(data)):
+            halves = (codec.core.encode_ordinary(part.decode()) for part in (data[:cut], data[cut:]))
+            assert codec.join(data, 0, next(halves), cut, next(halves), len(data)) == whole
+
+
+def test_bpe_of_documents_goes_through_joins(reference):
+    texts = [t.as_py() or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"]]
+    codec = bpe.Codec()
+    assert codec.encode_all(texts) == [e.ids for e in reference.encode_batch(texts, add_special_tokens=False)]
+    assert codec.joined > 0.9 * sum(len(t.encode()) for t in texts)
 
 
 # -- secrets
