@@ -100,15 +100,18 @@ def _fresh(open_: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.nda
     return low, high
 
 
-def repeated_starts(texts: list[bytes], window: int) -> list[np.ndarray]:
-    """For each text, the starts of its windows (of ``window`` bytes) that start anywhere else too."""
+def repeated_starts(texts: list[bytes], window: int, weights: list[int] | None = None) -> list[np.ndarray]:
+    """For each text, the starts of its windows (of ``window`` bytes) that start anywhere else too.
+
+    ``weights`` tells how often each text occurs; suffixes that share ``window`` bytes count as often as their texts do.
+    """
     sep = bytes([SEPARATOR])
     text = np.frombuffer(sep + sep.join(texts) + sep, np.uint8)
     order = suffix_order(byte_ranks(text), 8, window)
-    shared = np.flatnonzero(long_prefixes(text, order, window))
-    flag = np.zeros(len(text) + 1, bool)
-    flag[order[shared]] = True
-    flag[order[shared - 1]] = True
+    group = np.cumsum(~long_prefixes(text, order, window))
+    times = np.concatenate([[0], *(np.r_[np.full(len(t), w), 0] for t, w in zip(texts, weights or [1] * len(texts), strict=True))])
+    flag = np.empty(len(text), bool)
+    flag[order] = (np.bincount(group, times[order]) >= 2)[group]
     out, at = [], 1
     for t in texts:
         out.append(np.flatnonzero(flag[at : at + max(0, len(t) - window + 1)]))

@@ -33,14 +33,19 @@ class WaveletMatrix:
 
 
 class FmIndex:
-    """Index of word sequences (arrays of ids from 1 on); 0 stands between them."""
+    """Index of word sequences (arrays of ids from 1 on); 0 stands between them.
 
-    def __init__(self, sequences: list[np.ndarray], depth: int):
+    ``weights`` tells how often each sequence occurs; a match counts as often as its sequence does.
+    """
+
+    def __init__(self, sequences: list[np.ndarray], depth: int, weights: list[int] | None = None):
         zero = np.zeros(1, np.int64)
         self.text = np.concatenate([zero, *(x for s in sequences for x in (s, zero))])
         self.starts = np.cumsum([1, *(len(s) + 1 for s in sequences)])[:-1]
         self.sigma = int(self.text.max()) + 1
         order = suffix_order(self.text.astype(np.uint64), 1, depth)
+        times = np.concatenate([[0], *(np.r_[np.full(len(s), w), 0] for s, w in zip(sequences, weights or [1] * len(sequences), strict=True))])
+        self.times = np.r_[0, np.cumsum(times[order], dtype=np.int64)]
         self.tree = WaveletMatrix(self.text[order - 1], self.sigma)
         symbols = np.arange(self.sigma)
         before = np.r_[0, np.cumsum(np.bincount(self.text, minlength=self.sigma))[:-1]]
@@ -68,7 +73,7 @@ class FmIndex:
         low, high = np.zeros(len(lane), np.int64), np.full(len(lane), len(self.text), np.int64)
         while len(lane):
             lo, hi = self.extend(text[base[lane] + at - 1], low, high)
-            ok = hi - lo >= 2
+            ok = self.times[hi] - self.times[lo] >= 2
             at = np.where(ok, at - 1, at)
             flag[(base[lane] + at)[ok & (end - at >= window)]] = True
             again = np.minimum(end - 1, at - 1 + window)
@@ -80,9 +85,9 @@ class FmIndex:
         return [np.flatnonzero(flag[b : b + max(0, n - window + 1)]) for b, n in zip(base, sizes, strict=True)]
 
 
-def word_repeats(lines: list[bytes], window: int) -> list[np.ndarray]:
+def word_repeats(lines: list[bytes], window: int, weights: list[int] | None = None) -> list[np.ndarray]:
     """:meth:`FmIndex.repeated_starts` of lines of words joined by blanks, against an index of the same lines."""
     words = [line.split(b" ") for line in lines]
     ids: dict[bytes, int] = {}
     sequences = [np.array([ids.setdefault(w, len(ids) + 1) for w in ws], np.int64) for ws in words]
-    return FmIndex(sequences, window).repeated_starts(sequences, window)
+    return FmIndex(sequences, window, weights).repeated_starts(sequences, window)

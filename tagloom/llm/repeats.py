@@ -2,9 +2,10 @@
 
 1. Each text becomes segments (see windows.py); anchors that occur once in the corpus hold no repeat and go no further.
 2. Segments of one anchor and content are one row with a count, so copies and common passages cost one row each.
-3. Anchors with several contents are dealt to shards; a shard indexes their texts, a few anchors at a time, and finds
-   the windows that occur twice.  Anchors with very many contents are settled window by window instead.
-4. The windows found go back to the texts, where the words or bytes that they cover are removed.
+3. The contents of all other anchors are dealt to shards; a shard indexes them, a few anchors at a time, each weighted
+   with its count, and finds the windows that occur twice.  Anchors with very many contents are dealt by a second,
+   finer anchor first.
+4. The spans found go back to the texts, where the words or bytes that they cover are removed.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ from pyspark.sql import types as T
 from tagloom.llm.bwt import repeated_starts
 from tagloom.llm.common import discard, materialize, only, scan
 from tagloom.llm.fmindex import word_repeats
-from tagloom.llm.windows import BYTE_HASH, MAX_SYMBOLS, segment_runs
+from tagloom.llm.windows import BYTE_HASH, MAX_SYMBOLS, mix, segment_runs
 
 #: Bytes of text that one index is built over; an anchor's segments stay together.
 INDEX_BYTES = 3 << 19
-#: Anchors with more contents than this are settled window by window.
-MANY = 8192
+#: Anchors with more contents than this are dealt by finer anchors, up to so many times.
+MANY, LEVELS = 8192, 4
 
 
 @dataclass(frozen=True)
@@ -61,18 +62,23 @@ class Unit:
         """Symbols start to end of the line."""
         return line[start:end] if begins is None else line[begins[start] : begins[end] - 1]
 
-    def repeated(self, bodies: list[bytes]) -> list[np.ndarray]:
-        return word_repeats(bodies, self.window) if self.words else repeated_starts(bodies, self.window)
+    def repeated(self, bodies: list[bytes], weights: list[int]) -> list[np.ndarray]:
+        """Starts of the windows of each body that occur twice, bodies counted with their weights."""
+        return word_repeats(bodies, self.window, weights) if self.words else repeated_starts(bodies, self.window, weights)
 
 
-def runs_of(line: bytes, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors, first windows and numbers of windows of a line's segments; very long lines go in overlapping parts."""
+def runs_of(line: bytes, unit: Unit, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of a line (see :func:`segment_runs`); very long lines go in overlapping parts.
+
+    Each ``level`` chooses anchors by another hash.
+    """
     symbols = unit.symbols(line)
+    if level:
+        symbols = mix(symbols + np.uint64(level))
     found = []
     for at in range(0, max(1, len(symbols) - unit.window + 1), MAX_SYMBOLS - unit.window + 1):
-        part = symbols[at : at + MAX_SYMBOLS]
-        anchors, first, count = segment_runs(part, np.full(len(part), len(part)), unit.window, unit.gram)
-        found.append((anchors, first + at, count))
+        anchors, first, count, several = segment_runs(symbols[at : at + MAX_SYMBOLS], unit.window, unit.gram)
+        found.append((anchors, first + at, count, several))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -95,13 +101,13 @@ def with_key(docs: DataFrame, text: str, *keep: str) -> DataFrame:
 
 
 def anchors(docs: DataFrame, unit: Unit, text: str = "text") -> DataFrame:
-    """anchor of every segment of every row."""
+    """anchor of every segment of every row, and c: 2 if it stands there at several places, else 1."""
 
     def rows(batch: pa.RecordBatch) -> list | None:
-        found = [runs_of(unit.line(t.as_py().encode()), unit)[0] for t in batch.column(text) if t.as_py()]
-        return [np.concatenate(found).view(np.int64)] if found else None
+        found = [runs_of(unit.line(t.as_py().encode()), unit) for t in batch.column(text) if t.as_py()]
+        return [np.concatenate([f[0] for f in found]).view(np.int64), (np.concatenate([f[3] for f in found]) + 1).astype(np.int32)] if found else None
 
-    return scan(only(docs, text), rows, "anchor long")
+    return scan(only(docs, text), rows, "anchor long, c int")
 
 
 def segments(docs: DataFrame, unit: Unit, text: str = "text") -> DataFrame:
@@ -115,7 +121,7 @@ def segments(docs: DataFrame, unit: Unit, text: str = "text") -> DataFrame:
                 continue
             raw = raw.encode()
             line = unit.line(raw)
-            found, first, count = runs_of(line, unit)
+            found, first, count, _ = runs_of(line, unit)
             if not len(found):
                 continue
             begins, ends = unit.begins(line), first + count + unit.window - 1
@@ -133,14 +139,10 @@ def segments(docs: DataFrame, unit: Unit, text: str = "text") -> DataFrame:
     return scan(only(docs, text), rows, "anchor long, dg long, tk long, tc long, start long, count int")
 
 
-def fetch(docs: DataFrame, wanted: DataFrame, unit: Unit, text: str, windows: bool) -> DataFrame:
-    """Contents of the wanted segments (anchor, dg, n, tk, tc, start, count): anchor, dg, n and body.
-
-    With ``windows``, a row for each of their windows instead, with ``at``, its number within the segment.
-    """
+def fetch(docs: DataFrame, wanted: DataFrame, unit: Unit, text: str) -> DataFrame:
+    """Contents of the wanted segments (anchor, dg, n, tk, tc, start, count): anchor, dg, n and body."""
     per_text = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("anchor", "dg", "n", "start", "count")).alias("want"))
     joined = with_key(docs, text).join(per_text, list(KEY)).select("_body", "want")
-    schema = "anchor long, dg long, n long, at int, body binary"
 
     def run(batches):
         done: set[tuple[int, int]] = set()  # copies of a text come by as often as the corpus has them
@@ -149,78 +151,100 @@ def fetch(docs: DataFrame, wanted: DataFrame, unit: Unit, text: str, windows: bo
                 want = [w for w in want.as_py() if (w["anchor"], w["dg"]) not in done]
                 if not want:
                     continue
+                if len(done) > 1 << 18:  # only spares repeats
+                    done.clear()
                 line = unit.line(raw.as_py().encode())
                 begins = unit.begins(line)
-                out = []
-                for w in want:
-                    done.add((w["anchor"], w["dg"]))
-                    spans = [(k, w["start"] + k, w["start"] + k + unit.window) for k in range(w["count"])] if windows else [(0, w["start"], w["start"] + w["count"] + unit.window - 1)]
-                    out += [(w["anchor"], w["dg"], w["n"], k, unit.cut(line, begins, a, b)) for k, a, b in spans]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["anchor", "dg", "n", "at", "body"])
+                done.update((w["anchor"], w["dg"]) for w in want)
+                out = [(w["anchor"], w["dg"], w["n"], unit.cut(line, begins, w["start"], w["start"] + w["count"] + unit.window - 1)) for w in want]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["anchor", "dg", "n", "body"])
+
+    return joined.mapInArrow(run, "anchor long, dg long, n long, body binary")
+
+
+def finer(bodies: DataFrame, unit: Unit, level: int) -> DataFrame:
+    """Parts of the bodies (anchor, dg, n, body) by anchors of another level: ``of`` (anchor, dg), ``at`` and anchor, dg, n, body."""
 
-    return joined.mapInArrow(run, schema)
+    def rows(batch: pa.RecordBatch) -> list | None:
+        out = []
+        for a, d, n, body in zip(*(batch.column(c).to_pylist() for c in ("anchor", "dg", "n", "body")), strict=True):
+            begins = unit.begins(body)
+            found, first, count, _ = runs_of(body, unit, level)
+            for x, f, c in zip(mix(found ^ np.uint64(a & (1 << 64) - 1)).view(np.int64).tolist(), first.tolist(), count.tolist(), strict=True):
+                part = unit.cut(body, begins, f, f + c + unit.window - 1)
+                out.append(({"anchor": a, "dg": d}, f, x, digest(part), n, part))
+        return list(map(list, zip(*out, strict=True))) if out else None
+
+    return scan(bodies.select("anchor", "dg", "n", "body"), rows, "of struct<anchor:long,dg:long>, at int, anchor long, dg long, n long, body binary")
+
+
+def merged(starts: np.ndarray, window: int) -> list[int]:
+    """Starts and ends, in turn, of the stretches that windows at the sorted ``starts`` cover."""
+    gap = np.flatnonzero(np.diff(starts) > window)
+    return np.stack([starts[np.r_[0, gap + 1]], starts[np.r_[gap, len(starts) - 1]] + window], axis=1).ravel().tolist()
 
 
 def indexed(bodies: DataFrame, unit: Unit) -> DataFrame:
-    """anchor, dg and ``hits`` (numbers of repeated windows within the segment) from a shard's own index."""
-    dealt = bodies.select("anchor", "dg", "body").repartition("anchor").sortWithinPartitions("anchor", "dg")
+    """anchor, dg and ``spans`` (starts and ends in turn) that repeated windows of each body cover, by a shard's own index."""
+    dealt = bodies.select("anchor", "dg", "n", "body").repartition("anchor").sortWithinPartitions("anchor", "dg")
 
-    def settle(group: list[tuple[int, int, bytes]]):
-        found = [(a, d, h.tolist()) for (a, d, _), h in zip(group, unit.repeated([b for _, _, b in group]), strict=True) if len(h)]
+    def settle(group: list[tuple[int, int, int, bytes]]):
+        found = [(a, d, merged(h, unit.window)) for (a, d, _, _), h in zip(group, unit.repeated([b for *_, b in group], [min(n, 2) for _, _, n, _ in group]), strict=True) if len(h)]
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], names=["anchor", "dg", "hits"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], names=["anchor", "dg", "spans"])
 
     def run(batches):
         group, size = [], 0
         for batch in batches:
-            for a, d, body in zip(batch.column("anchor").to_pylist(), batch.column("dg").to_pylist(), batch.column("body").to_pylist(), strict=True):
+            for a, d, n, body in zip(*(batch.column(c).to_pylist() for c in ("anchor", "dg", "n", "body")), strict=True):
                 if group and size > INDEX_BYTES and a != group[-1][0]:
                     yield from settle(group)
                     group, size = [], 0
                 if not group or (a, d) != group[-1][:2]:
-                    group.append((a, d, body))
+                    group.append((a, d, n, body))
                     size += len(body)
         if group:
             yield from settle(group)
 
-    return dealt.mapInArrow(run, "anchor long, dg long, hits array<int>")
+    return dealt.mapInArrow(run, "anchor long, dg long, spans array<int>")
+
+
+def settled(bodies: DataFrame, unit: Unit, many: int, level: int) -> DataFrame:
+    """:func:`indexed` of bodies of crowded anchors, dealt by finer anchors as long as too many contents share one."""
+    parts = materialize(finer(bodies, unit, level))
+    contents = parts.groupBy("anchor", "dg").agg(F.sum("n").alias("n"), F.any_value("body").alias("body"))
+    crowded = materialize(contents.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > many).select("anchor"))
+    if level < LEVELS and crowded.limit(1).count():
+        found = indexed(contents.join(crowded, "anchor", "left_anti"), unit).unionByName(settled(contents.join(crowded, "anchor", "left_semi"), unit, many, level + 1))
+    else:
+        found = indexed(contents, unit)
+    back = parts.select("of", "at", "anchor", "dg").join(found, ["anchor", "dg"])
+    return back.groupBy("of").agg(F.flatten(F.collect_list(F.transform("spans", lambda x: x + F.col("at")))).alias("spans")).select("of.anchor", "of.dg", "spans")
 
 
 def repeated_windows(docs: DataFrame, unit: Unit, text: str = "text", many: int = MANY) -> DataFrame:
-    """tk, tc and ``found``, a set of (start, hits) of every text with repeated windows: hits count from start.
+    """tk, tc and ``found``, a set of (start, spans) of every text with repeated windows.
 
-    Where ``hits`` is null, all ``count`` windows from start on are repeated.
+    Spans are starts and ends in turn, counted from ``start``, of what repeated windows cover.
     """
-    again = anchors(docs, unit, text).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    again = anchors(docs, unit, text).groupBy("anchor").agg(F.sum("c").alias("n")).where("n > 1").select("anchor")
     rows = materialize(segments(docs, unit, text).join(materialize(again), "anchor", "left_semi"))
-    contents = rows.groupBy("anchor", "dg").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "start", "count")).alias("x"))
-    contents = materialize(contents.select("anchor", "dg", "n", "x.*"))
-    kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    several = materialize(contents.join(kinds, "anchor"))
-    whole = contents.where("n > 1").select("anchor", "dg", F.lit(None).cast("array<int>").alias("hits"))
-    few = indexed(fetch(docs, several.where(F.col("kinds") <= many), unit, text, False), unit)
-    # one row for each window of the anchors with very many contents, summed before it is dealt
-    single = materialize(fetch(docs, several.where(F.col("kinds") > many), unit, text, True).select("anchor", "dg", "n", "at", F.sha2("body", 256).alias("w")).dropDuplicates(["anchor", "dg", "at"]))
-    often = single.groupBy("w").agg(F.sum("n").alias("m")).where("m > 1").select("w")
-    split = single.join(often, "w", "left_semi").groupBy("anchor", "dg").agg(F.sort_array(F.collect_set("at")).alias("hits"))
-    # contents that occur more than once are repeated throughout, whatever an index says of them
-    parts = few.unionByName(split).join(contents.where("n = 1").select("anchor", "dg"), ["anchor", "dg"], "left_semi")
-    hits = materialize(whole.unionByName(parts.select("anchor", "dg", "hits")))
-    found = rows.join(hits, ["anchor", "dg"]).groupBy(*KEY).agg(F.collect_set(F.struct("start", "count", "hits")).alias("found"))
-    out = materialize(found)
-    for t in (rows, contents, several, single, hits):
+    contents = materialize(rows.groupBy("anchor", "dg").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "start", "count")).alias("x")).select("anchor", "dg", "n", "x.*"))
+    crowded = materialize(contents.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > many).select("anchor"))
+    spans = indexed(fetch(docs, contents.join(crowded, "anchor", "left_anti"), unit, text), unit)
+    if crowded.limit(1).count():
+        bodies = fetch(docs, contents.join(crowded, "anchor", "left_semi"), unit, text).dropDuplicates(["anchor", "dg"])
+        spans = spans.unionByName(settled(bodies, unit, many, 1))
+    spans = materialize(spans)
+    out = materialize(rows.join(spans, ["anchor", "dg"]).groupBy(*KEY).agg(F.collect_set(F.struct("start", "spans")).alias("found")))
+    for t in (rows, contents, crowded, spans):
         discard(t)
     return out
 
 
-def covered(found: list[dict] | None, window: int) -> list[tuple[int, int]]:
+def covered(found: list[dict] | None) -> list[tuple[int, int]]:
     """Merged, ordered (start, end) symbols that the repeated windows cover."""
-    spans = []
-    for f in found or ():
-        if f["hits"] is None:
-            spans.append((f["start"], f["start"] + f["count"] + window - 1))
-        else:
-            spans += [(f["start"] + h, f["start"] + h + window) for h in f["hits"]]
+    spans = [(f["start"] + a, f["start"] + b) for f in found or () for a, b in zip(f["spans"][::2], f["spans"][1::2], strict=True)]
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
         if out and a <= out[-1][1]:
@@ -246,7 +270,7 @@ def without_repeats(docs: DataFrame, unit: Unit, ddl: str, emit: Callable[[bytes
         made = []
         for raw, hits in zip(batch.column("_body"), batch.column("found"), strict=True):
             line = unit.line(raw.as_py().encode())
-            spans = covered(hits.as_py(), unit.window)
+            spans = covered(hits.as_py())
             begins = unit.begins(line)
             made.append(emit(line, begins, len(line) if begins is None else len(begins) - 1, spans))
         return [*(batch.column(c) for c in names), *map(list, zip(*made, strict=True))]

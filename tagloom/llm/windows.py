@@ -2,7 +2,7 @@
 
 Two equal windows choose the same anchor (the smallest hash among their k-grams, leftmost on ties), so rows that
 share an anchor are the only ones that can hold equal windows.  A *segment* is a run of neighbouring windows of one
-text with the same anchor occurrence; each window lies in exactly one segment.
+text with the same anchor; each window lies in exactly one segment.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import numpy as np
 _MASK_BITS = 20
 #: Most symbols that one call of :func:`segment_runs` takes, since positions share a word with hash bits.
 MAX_SYMBOLS = 1 << _MASK_BITS
+#: Most windows of one segment; longer runs are cut.
+MAX_WINDOWS = 4096
 
 _rng = np.random.default_rng(20240229)
 #: Random 64-bit value for each byte, and an odd multiplier for each doubling step of the rolling hash.
@@ -48,25 +50,25 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:-rest], x[rest:]) if rest else x
 
 
-def segment_runs(symbols: np.ndarray, ends: np.ndarray, window: int, k: int):
-    """Segments of texts that lie one after another in ``symbols``.
+def segment_runs(symbols: np.ndarray, window: int, k: int):
+    """Segments of one text: anchor hashes, first windows, numbers of windows, and whether the anchor stands in them at several places.
 
-    ``ends`` holds for each symbol the end of its text.  Returns anchor hashes, first windows and numbers of windows;
-    window j is symbols[j : j + window].  Texts shorter than the window give nothing.
+    Window j is symbols[j : j + window].  Two equal windows of one segment lie around different places of its anchor,
+    so a segment with one place holds no repeat by itself.  Texts shorter than the window give nothing.
     """
-    n = len(symbols)
-    if n < window:
-        empty = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), empty, empty
+    n = len(symbols) - window + 1
+    if n < 1:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     grams = kgram_hashes(symbols, k)
     low = np.uint64(MAX_SYMBOLS - 1)
     keyed = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
-    at = (sliding_min(keyed, window - k + 1) & low).astype(np.int64)
-    first = np.arange(n - window + 1, dtype=np.int64)
-    valid = np.flatnonzero(ends[: n - window + 1] - first >= window)
-    if not len(valid):
-        empty = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), empty, empty
-    where = at[valid]
-    cut = np.flatnonzero(np.r_[True, (np.diff(where) != 0) | (np.diff(valid) != 1)])
-    return grams[where[cut]], valid[cut], np.diff(np.r_[cut, len(valid)])
+    place = (sliding_min(keyed, window - k + 1) & low).astype(np.int64)
+    anchor = grams[place]
+    moved = np.r_[False, np.diff(place) != 0]
+    cut = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+    count = np.diff(np.r_[cut, n])
+    if count.max() > MAX_WINDOWS:
+        cut = np.concatenate([np.arange(c, c + m, MAX_WINDOWS) for c, m in zip(cut.tolist(), count.tolist(), strict=True)])
+        count = np.diff(np.r_[cut, n])
+    steps = np.r_[0, np.cumsum(moved)]
+    return anchor[cut], cut, count, steps[cut + count] > steps[cut + 1]

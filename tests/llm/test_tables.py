@@ -8,7 +8,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, components, decontamination, licenses, quality, repeats, secrets, sharding, simhash, toxicity
+from tagloom.llm import bpe, components, decontamination, licenses, quality, queries, repeats, secrets, sharding, simhash, toxicity
+from tagloom.llm.common import load
+
+DIR = "/root/testdata/sf0.001"
 
 LONG = " ".join(f"word{i}" for i in range(30000))
 PASSAGE = " ".join(f"passage{i % 37}x{i}" for i in range(60))
@@ -153,22 +156,32 @@ def test_components(spark):
 
 def plain_removal(rows, unit):
     cut = (lambda t: tuple((t or "").encode().split())) if unit.words else (lambda t: (t or "").encode())
-    seen = Counter(s[i : i + unit.window] for _, t in rows for s in [cut(t)] for i in range(len(s) - unit.window + 1))
+    made: dict = {}  # a text that repeats is looked at once
+    seen: Counter = Counter()
+    for t, times in Counter(t for _, t in rows).items():
+        s = cut(t)
+        made[t] = s, [hash(s[i : i + unit.window]) for i in range(len(s) - unit.window + 1)]
+        for h in made[t][1]:
+            seen[h] += times
     out: Counter = Counter()
     for d, t in rows:
-        s = cut(t)
-        gone = {i + k for i in range(len(s) - unit.window + 1) if seen[s[i : i + unit.window]] > 1 for k in range(unit.window)}
-        rest = [x if unit.words else bytes([x]) for i, x in enumerate(s) if i not in gone]
-        out[d, len(s), len(gone), sum(i - 1 not in gone for i in gone), hashlib.sha256((b" " if unit.words else b"").join(rest)).hexdigest()] += 1
+        s, windows = made[t]
+        gone = bytearray(len(s))
+        for i, h in enumerate(windows):
+            if seen[h] > 1:
+                gone[i : i + unit.window] = b"\1" * unit.window
+        rest = [x if unit.words else bytes([x]) for x, g in zip(s, gone, strict=True) if not g]
+        out[d, len(s), sum(gone), len(re.findall(b"\1+", gone)), hashlib.sha256((b" " if unit.words else b"").join(rest)).hexdigest()] += 1
     return out
 
 
-@pytest.mark.parametrize("unit", [repeats.Unit(True, 35, 8), repeats.Unit(False, 200, 32), repeats.Unit(True, 5, 2), repeats.Unit(False, 12, 4)])
-@pytest.mark.parametrize("many", [repeats.MANY, 1])
+RUNS = [(20, "a" * 9000), (21, "x" + "a" * 5000), (22, "ab " * 4000), (23, "no " * 300 + "yes " + "no " * 300), (24, " ".join(f"rare{i % 90}" for i in range(400)))]
+
+
+@pytest.mark.parametrize("unit,many", [(repeats.WORDS, repeats.MANY), (repeats.BYTES, 1), (repeats.Unit(True, 5, 2), 1), (repeats.Unit(False, 12, 4), repeats.MANY)])
 def test_repeats(docs, none, unit, many):
-    if unit.window * 100 < len(LONG) and not unit.words:
-        docs = docs.where("length(text) < 5000 or text is null")
-    rows = [r for r in ROWS if (r[0], r[1]) in {(x.doc_id, x.text) for x in docs.select("doc_id", "text").collect()}]
+    rows = [*ROWS, *RUNS]
+    docs = docs.unionByName(docs.sparkSession.createDataFrame([(*r, 1, "t", 2, "b", "g", 3, "f", 4, 5) for r in RUNS], SCHEMA))
 
     def digest(line, begins, n, spans):
         return n, sum(b - a for a, b in spans), len(spans), hashlib.sha256(repeats.kept(line, begins, n, spans)).hexdigest()
@@ -178,6 +191,18 @@ def test_repeats(docs, none, unit, many):
     assert made(none).count() == 0
 
 
+@pytest.mark.parametrize("name,unit", [("op6_substring_dedup", repeats.WORDS), ("op10_suffix_array", repeats.BYTES)])
+def test_repeats_of_documents(spark, name, unit):
+    """The whole registered query against counts of all windows."""
+    got = queries.QUERIES[name](spark, DIR)
+    rows = [(r.doc_id, r.text) for r in load(spark, DIR, "documents").collect()]
+    plain = Counter()
+    for (d, n, gone, spans, sha), times in plain_removal(rows, unit).items():
+        plain[(d, n, gone, sha) if unit.words else (d, n, gone, spans, sha)] += times
+    columns = ("doc_id", "n_words", "n_removed", "kept_sha256") if unit.words else ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert by_row(got, *columns) == plain
+
+
 def test_contamination(docs, none, spark):
     bench = spark.createDataFrame([(1, PASSAGE), (2, None), (3, ""), (4, "nowhere " * 40), (1, PASSAGE)], "item_id long, text string")
     got = decontamination.contaminated(docs, bench)

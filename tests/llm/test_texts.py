@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from tagloom.llm import bpe, decontamination, licenses, quality, secrets, simhash, toxicity
 from tagloom.llm.bwt import repeated_starts
 from tagloom.llm.fmindex import word_repeats
-from tagloom.llm.windows import segment_runs
+from tagloom.llm.windows import MAX_WINDOWS, segment_runs
 
 # -- BPE
 
@@ -212,19 +212,27 @@ def test_indexes_find_all_repeats():
         rows = [tuple(b"%c" % x for x in t) for t in texts if t]
         if rows:
             assert [x.tolist() for x in word_repeats([b" ".join(r) for r in rows], window)] == plain_repeats(rows, window)
+            weights = [rng.randint(1, 2) for _ in rows]
+            copies = plain_repeats([r for r, w in zip(rows, weights, strict=True) for _ in range(w)], window)
+            firsts = np.cumsum([0, *weights])[:-1]
+            assert [x.tolist() for x in word_repeats([b" ".join(r) for r in rows], window, weights)] == [copies[i] for i in firsts]
+            assert [x.tolist() for x in repeated_starts([b"".join(r) for r in rows], window, weights)] == [copies[i] for i in firsts]
 
 
 def test_equal_windows_share_an_anchor():
     rng = np.random.default_rng(0)
     shared = rng.integers(0, 2**64, 90, dtype=np.uint64)
     owner: dict = {}
-    for _ in range(3):
-        x = np.concatenate([rng.integers(0, 2**64, rng.integers(1, 50), dtype=np.uint64), shared, rng.integers(0, 2**64, 30, dtype=np.uint64)])
-        anchors, first, count = segment_runs(x, np.full(len(x), len(x)), 35, 8)
-        assert count.sum() == len(x) - 34 and (np.diff(first) == count[:-1]).all()
-        for a, f, c in zip(anchors, first, count, strict=True):
+    for letters in (2**64, 2**64, 2**64, 3, 2, 1):  # few letters give anchors that stand at several places
+        x = np.concatenate([rng.integers(0, letters, rng.integers(1, 50), dtype=np.uint64), shared, rng.integers(0, letters, 30 if letters > 3 else 9000, dtype=np.uint64)])
+        anchors, first, count, several = segment_runs(x, 35, 8)
+        assert count.sum() == len(x) - 34 and (np.diff(first) == count[:-1]).all() and count.max() <= MAX_WINDOWS
+        for a, f, c, s in zip(anchors, first, count, several):
+            seen = set()
             for j in range(f, f + c):
-                assert owner.setdefault(x[j : j + 35].tobytes(), a) == a
+                w = x[j : j + 35].tobytes()
+                assert owner.setdefault(w, a) == a and (s or w not in seen)
+                seen.add(w)
 
 
 # -- decontamination
