@@ -109,7 +109,7 @@ def repeated_starts(texts: list[bytes], window: int, weights: list[int] | None =
     text = np.frombuffer(sep + sep.join(texts) + sep, np.uint8)
     order = suffix_order(byte_ranks(text), 8, window)
     group = np.cumsum(~long_prefixes(text, order, window))
-    times = np.concatenate([[0], *(np.r_[np.full(len(t), w), 0] for t, w in zip(texts, weights or [1] * len(texts), strict=True))])
+    times = np.repeat(np.array([0, *(weights or [1] * len(texts))], np.int64), [1, *(len(t) + 1 for t in texts)])  # separators never begin a window
     flag = np.empty(len(text), bool)
     flag[order] = (np.bincount(group, times[order]) >= 2)[group]
     out, at = [], 1

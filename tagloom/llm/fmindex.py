@@ -1,4 +1,4 @@
-"""FM-index over words, with a wavelet matrix of packed bits, and matching statistics by backward search."""
+"""FM-index over words, with a wavelet matrix of packed digits, and matching statistics by backward search."""
 
 from __future__ import annotations
 
@@ -6,49 +6,64 @@ import numpy as np
 
 from tagloom.llm.bwt import suffix_order
 
+#: Of a packed word with sixteen digits of four bits: the lowest bit of each of the first n digits, for every n.
+_FIRST = np.array([0x1111111111111111 & ((1 << 4 * n) - 1) for n in range(16)], np.uint64)
+#: Each digit sixteen times.
+_SAME = np.array([0x1111111111111111 * d for d in range(16)], np.uint64)
+
 
 class WaveletMatrix:
-    """Rank queries over integers: one packed bit array for each bit, with counts before each 64 bits."""
+    """Rank queries over integers, four bits a level: packed digits, with counts of each digit before each sixteen."""
 
     def __init__(self, values: np.ndarray, sigma: int):
-        self.bits = max(1, int(sigma - 1).bit_length())
-        self.words, self.counts, self.zeros = [], [], []
-        for b in range(self.bits - 1, -1, -1):
-            bit = ((values >> b) & 1).astype(np.uint8)
-            packed = np.packbits(np.r_[bit, np.zeros(-len(bit) % 64 + 64, np.uint8)], bitorder="little").view("<u8")
-            self.words.append(packed)
-            self.counts.append(np.r_[0, np.cumsum(np.bitwise_count(packed), dtype=np.int64)])
-            ones = bit.astype(bool)
-            self.zeros.append(int(len(bit) - ones.sum()))
-            values = np.concatenate([values[~ones], values[ones]])
+        self.levels = max(1, -(-int(sigma - 1).bit_length() // 4))
+        self.words, self.counts, self.starts = [], [], []
+        for level in range(self.levels - 1, -1, -1):
+            digit = ((values >> 4 * level) & 15).astype(np.uint8)
+            blocks = len(digit) // 16 + 1
+            padded = np.zeros(16 * blocks, np.uint64)
+            padded[: len(digit)] = digit
+            self.words.append(np.bitwise_or.reduce(padded.reshape(blocks, 16) << np.arange(0, 64, 4, dtype=np.uint64), axis=1))
+            each = np.bincount((np.arange(len(digit)) & ~15) + digit, minlength=16 * blocks).reshape(blocks, 16)
+            before = np.cumsum(each, axis=0) - each
+            totals = before[-1] + each[-1]
+            # where a digit's values begin on the next level is added to its counts at once
+            self.counts.append((before + np.cumsum(totals) - totals).astype(np.int32).ravel())
+            values = values[np.argsort(digit, kind="stable")]
 
     def descend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where each place ``at`` comes to on the way of ``symbol`` through all levels."""
-        for level in range(self.bits):
-            block, rest = at >> 6, (at & 63).astype(np.uint64)
-            ones = self.counts[level][block] + np.bitwise_count(self.words[level][block] & ((np.uint64(1) << rest) - np.uint64(1)))
-            bit = (symbol >> (self.bits - 1 - level)) & 1
-            at = np.where(bit == 1, self.zeros[level] + ones, at - ones)
-        return at
+        for level in range(self.levels):
+            digit = (symbol >> 4 * (self.levels - 1 - level)) & 15
+            other = self.words[level].take(at >> 4)
+            other ^= _SAME.take(digit)
+            other |= other >> np.uint64(1)
+            other |= other >> np.uint64(2)
+            np.bitwise_not(other, out=other)
+            other &= _FIRST.take(at & 15)
+            at = self.counts[level].take((at & ~15) + digit) + np.bitwise_count(other)
+        return at.astype(np.int64)
 
 
 class FmIndex:
-    """Index of word sequences (arrays of ids from 1 on); 0 stands between them.
+    """Index of word sequences: ids from 1 on, one after another, and the sizes of the sequences; 0 stands between them.
 
     ``weights`` tells how often each sequence occurs; a match counts as often as its sequence does.
     """
 
-    def __init__(self, sequences: list[np.ndarray], depth: int, weights: list[int] | None = None):
-        zero = np.zeros(1, np.int64)
-        self.text = np.concatenate([zero, *(x for s in sequences for x in (s, zero))])
-        self.starts = np.cumsum([1, *(len(s) + 1 for s in sequences)])[:-1]
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, depth: int, weights: np.ndarray):
+        number = np.repeat(np.arange(len(sizes)), sizes)
+        self.text = np.zeros(len(ids) + len(sizes) + 1, np.int64)
+        place = np.arange(len(ids)) + number + 1
+        self.text[place] = ids
         self.sigma = int(self.text.max()) + 1
         order = suffix_order(self.text.astype(np.uint64), 1, depth)
-        times = np.concatenate([[0], *(np.r_[np.full(len(s), w), 0] for s, w in zip(sequences, weights or [1] * len(sequences), strict=True))])
-        self.times = np.r_[0, np.cumsum(times[order], dtype=np.int64)]
+        times = np.zeros(len(self.text), np.int64)
+        times[place] = weights[number]
+        self.times = np.concatenate([[0], np.cumsum(times[order])])
         self.tree = WaveletMatrix(self.text[order - 1], self.sigma)
         symbols = np.arange(self.sigma)
-        before = np.r_[0, np.cumsum(np.bincount(self.text, minlength=self.sigma))[:-1]]
+        before = np.concatenate([[0], np.cumsum(np.bincount(self.text, minlength=self.sigma))[:-1]])
         # place of a symbol's suffixes, less where its way through the levels begins
         self.shift = before - self.tree.descend(symbols, np.zeros(self.sigma, np.int64))
 
@@ -58,14 +73,12 @@ class FmIndex:
         shift = self.shift[symbol]
         return both[: len(low)] + shift, both[len(low) :] + shift
 
-    def repeated_starts(self, sequences: list[np.ndarray], window: int) -> list[np.ndarray]:
+    def repeated_starts(self, text: np.ndarray, sizes: np.ndarray, window: int) -> list[np.ndarray]:
         """For each sequence streamed against the index, the starts of windows found at two places at least.
 
         Each goes from its end backwards as long as two places match.  Where that fails, every window over the failing
         stretch is settled, and the search begins again with the latest end that is still open.
         """
-        text = np.concatenate(sequences) if sequences else np.zeros(0, np.int64)
-        sizes = np.array([len(s) for s in sequences], np.int64)
         base = np.cumsum(sizes) - sizes
         flag = np.zeros(len(text) + 1, bool)
         lane = np.flatnonzero(sizes >= window)
@@ -87,7 +100,8 @@ class FmIndex:
 
 def word_repeats(lines: list[bytes], window: int, weights: list[int] | None = None) -> list[np.ndarray]:
     """:meth:`FmIndex.repeated_starts` of lines of words joined by blanks, against an index of the same lines."""
-    words = [line.split(b" ") for line in lines]
-    ids: dict[bytes, int] = {}
-    sequences = [np.array([ids.setdefault(w, len(ids) + 1) for w in ws], np.int64) for ws in words]
-    return FmIndex(sequences, window, weights).repeated_starts(sequences, window)
+    words = b" ".join(lines).split(b" ")
+    number = {w: i for i, w in enumerate(set(words), 1)}
+    ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    sizes = np.fromiter((line.count(b" ") + 1 for line in lines), np.int64, len(lines))
+    return FmIndex(ids, sizes, window, np.array(weights or [1] * len(lines))).repeated_starts(ids, sizes, window)

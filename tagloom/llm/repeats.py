@@ -163,19 +163,22 @@ def fetch(docs: DataFrame, wanted: DataFrame, unit: Unit, text: str) -> DataFram
 
 
 def finer(bodies: DataFrame, unit: Unit, level: int) -> DataFrame:
-    """Parts of the bodies (anchor, dg, n, body) by anchors of another level: ``of`` (anchor, dg), ``at`` and anchor, dg, n, body."""
+    """Parts of the bodies (anchor, dg, n, body) by anchors of another level: ``of`` (anchor, dg), ``at`` and anchor, dg, n, c, body.
+
+    c is 2 if the anchor stands at several places of the part, else 1.
+    """
 
     def rows(batch: pa.RecordBatch) -> list | None:
         out = []
         for a, d, n, body in zip(*(batch.column(c).to_pylist() for c in ("anchor", "dg", "n", "body")), strict=True):
             begins = unit.begins(body)
-            found, first, count, _ = runs_of(body, unit, level)
-            for x, f, c in zip(mix(found ^ np.uint64(a & (1 << 64) - 1)).view(np.int64).tolist(), first.tolist(), count.tolist(), strict=True):
+            found, first, count, several = runs_of(body, unit, level)
+            for x, f, c, s in zip(mix(found ^ np.uint64(a & (1 << 64) - 1)).view(np.int64).tolist(), first.tolist(), count.tolist(), several.tolist(), strict=True):
                 part = unit.cut(body, begins, f, f + c + unit.window - 1)
-                out.append(({"anchor": a, "dg": d}, f, x, digest(part), n, part))
+                out.append(({"anchor": a, "dg": d}, f, x, digest(part), n, 1 + s, part))
         return list(map(list, zip(*out, strict=True))) if out else None
 
-    return scan(bodies.select("anchor", "dg", "n", "body"), rows, "of struct<anchor:long,dg:long>, at int, anchor long, dg long, n long, body binary")
+    return scan(bodies.select("anchor", "dg", "n", "body"), rows, "of struct<anchor:long,dg:long>, at int, anchor long, dg long, n long, c int, body binary")
 
 
 def merged(starts: np.ndarray, window: int) -> list[int]:
@@ -211,11 +214,13 @@ def indexed(bodies: DataFrame, unit: Unit) -> DataFrame:
 
 def settled(bodies: DataFrame, unit: Unit, many: int, level: int) -> DataFrame:
     """:func:`indexed` of bodies of crowded anchors, dealt by finer anchors as long as too many contents share one."""
-    parts = materialize(finer(bodies, unit, level))
+    parts = finer(bodies, unit, level)
+    again = materialize(parts.groupBy("anchor").agg(F.sum(F.col("n") * F.col("c")).alias("n")).where("n > 1").select("anchor"))
+    parts = materialize(parts.join(again, "anchor", "left_semi"))  # finer anchors that occur once hold no repeat
     contents = parts.groupBy("anchor", "dg").agg(F.sum("n").alias("n"), F.any_value("body").alias("body"))
     crowded = materialize(contents.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > many).select("anchor"))
     if level < LEVELS and crowded.limit(1).count():
-        found = indexed(contents.join(crowded, "anchor", "left_anti"), unit).unionByName(settled(contents.join(crowded, "anchor", "left_semi"), unit, many, level + 1))
+        found = indexed(contents.join(crowded, "anchor", "left_anti"), unit).unionByName(settled(materialize(contents.join(crowded, "anchor", "left_semi")), unit, many, level + 1))
     else:
         found = indexed(contents, unit)
     back = parts.select("of", "at", "anchor", "dg").join(found, ["anchor", "dg"])
@@ -233,7 +238,7 @@ def repeated_windows(docs: DataFrame, unit: Unit, text: str = "text", many: int
     crowded = materialize(contents.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > many).select("anchor"))
     spans = indexed(fetch(docs, contents.join(crowded, "anchor", "left_anti"), unit, text), unit)
     if crowded.limit(1).count():
-        bodies = fetch(docs, contents.join(crowded, "anchor", "left_semi"), unit, text).dropDuplicates(["anchor", "dg"])
+        bodies = materialize(fetch(docs, contents.join(crowded, "anchor", "left_semi"), unit, text).dropDuplicates(["anchor", "dg"]))
         spans = spans.unionByName(settled(bodies, unit, many, 1))
     spans = materialize(spans)
     out = materialize(rows.join(spans, ["anchor", "dg"]).groupBy(*KEY).agg(F.collect_set(F.struct("start", "spans")).alias("found")))
