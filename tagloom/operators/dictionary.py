@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagloom.functions.text import strip, units
 
+#: Most characters of a dictionary that is held as one automaton by every task.
+LIMIT_CHARS = 4 << 20
+
 
 def load_entries(nodes: DataFrame, column: str = "node") -> DataFrame:
     """Different non-blank ``surface`` of nodes, stripped and lower-cased, each with weight 1."""
@@ -30,12 +37,52 @@ def stats(entries: DataFrame) -> DataFrame:
     return entries.agg(F.count("*").alias("num_items"), total.alias("sum_items"), F.when(total > 0, F.log(total.cast("double"))).otherwise(F.lit(-100.0)).alias("log_sum_items"))
 
 
-def _spans(docs: DataFrame, entries: DataFrame, doc: str, text: Column) -> DataFrame:
-    """doc, first unit, number of units, start and end of every match with its surface (as looked up)."""
-    cut = entries.select("surface", F.size(units("surface")).alias("n"), F.get(units("surface"), 0).alias("head")).where("n > 0")
-    longest = cut.agg(F.max("n")).first()[0] or 1
-    each = docs.select(F.col(doc).alias("doc"), F.posexplode(units(text)).alias("i", "unit"))
-    order = Window.partitionBy("doc").orderBy("i")
+def _spans(docs: DataFrame, entries: DataFrame, doc: str, text: Column, limit: int = LIMIT_CHARS) -> DataFrame:
+    """doc, first unit, number of units, start and end of every match with its surface (as looked up).
+
+    A dictionary of up to ``limit`` characters goes to every task as one automaton, which passes over each text once;
+    a larger one is joined with the units of the texts.  Both give the same rows.
+    """
+    cut = entries.select("surface", F.size(units("surface")).alias("n"), F.get(units("surface"), 0).alias("head")).where("n > 0").distinct()
+    chars, longest = cut.agg(F.sum(F.length("surface")), F.max("n")).first()
+    if (chars or 0) <= limit:
+        return _by_automaton(docs.select(F.col(doc).alias("doc"), text.alias("text")), [tuple(r) for r in cut.select("surface", "n").collect()])
+    return _by_join(docs.select(F.col(doc).alias("doc"), text.alias("text")), cut, longest or 1)
+
+
+def _by_automaton(docs: DataFrame, entries: list[tuple[str, int]]) -> DataFrame:
+    schema = T.StructType([docs.schema["doc"], *T.StructType.fromDDL("i int, start long, n int, surface string, end long").fields])
+
+    def run(batches):
+        found = ahocorasick.Automaton()
+        for surface, n in entries:
+            found.add_word(surface, (surface, n))
+        if entries:
+            found.make_automaton()
+        for batch in batches if entries else ():
+            rows, out = [], []
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                # a place between two letters or digits of one run is no border of units
+                hits = [(end + 1 - len(s), end + 1, s, n) for end, (s, n) in found.iter(text)] if text else []
+                if not hits:
+                    continue
+                code = np.frombuffer(text.encode("utf-32-le"), "<u4")
+                run_ = (code - 48 < 10) | ((code | 32) - 97 < 26)
+                border = np.ones(len(code) + 1, bool)
+                border[1:-1] = ~(run_[1:] & run_[:-1])
+                number = np.cumsum(border)
+                hits = [(int(number[a]) - 1, a, n, s, b) for a, b, s, n in hits if border[a] and border[b]]
+                rows += [row] * len(hits)
+                out += hits
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(rows)), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int64()), strict=True))], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _by_join(docs: DataFrame, cut: DataFrame, longest: int) -> DataFrame:
+    each = docs.withColumn("row", F.monotonically_increasing_id()).select("doc", "row", F.posexplode(units("text")).alias("i", "unit"))
+    order = Window.partitionBy("row").orderBy("i")
     before = F.coalesce(F.sum(F.length("unit")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     surfaces, joined = [], F.col("unit")
     for k in range(1, longest + 1):
@@ -46,7 +93,7 @@ def _spans(docs: DataFrame, entries: DataFrame, doc: str, text: Column) -> DataF
     # only units that begin an entry go on; an entry is as long as its units
     begun = placed.join(cut.select(F.col("head").alias("unit")).distinct(), "unit", "left_semi")
     found = begun.select("doc", "i", "start", F.explode("s").alias("x")).select("doc", "i", "start", "x.n", "x.surface").where("surface is not null")
-    return found.join(cut.select("surface", "n"), ["surface", "n"]).withColumn("end", F.col("start") + F.length("surface"))
+    return found.join(cut.select("surface", "n"), ["surface", "n"]).select("doc", "i", "start", "n", "surface", (F.col("start") + F.length("surface")).alias("end"))
 
 
 def match(docs: DataFrame, entries: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:

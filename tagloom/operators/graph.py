@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from tagloom.sources.workspace import settle
 
-#: Weights of edge types, the least weight that goes on, the rounds that these allow, and the bound of
-#: nodes after which the queue mode stops.
+#: Weights of edge types, the least weight that goes on, and the bound of nodes after which the queue mode
+#: stops.  Expansion goes on until nothing improves; more rounds than HOPS are an error, since only weights above 1 can
+#: grow for so long.
 TYPE_WEIGHTS = {"self": 1.0, "KG": 0.2, "coocc": 0.2, "KGm": 0.7, "KGi": 0.15}
 PRUNE = 0.05
-HOPS = 8
+HOPS = 1000
 QUEUE = 100
 
 
@@ -45,6 +46,8 @@ def expand(seeds: DataFrame, edges: DataFrame, weights: dict[str, float] | None
         if not front.limit(1).count():
             break
         known = settle(known.join(front.select("qid", "seed", "node"), ["qid", "seed", "node"], "left_anti").unionByName(front))
+    else:
+        raise ValueError(f"weights still grow after {hops} rounds")
     return known.withColumn("w", F.least("w", F.lit(1.0)))
 
 

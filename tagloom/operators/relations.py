@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions.text import anchors
 from tagloom.operators.tables import numbered
-from tagloom.sources.workspace import settle
+from tagloom.sources.workspace import discard, settle
 
 WINDOW = 10
 
@@ -143,11 +145,11 @@ def soft_valid(candidates: DataFrame, pos: DataFrame) -> DataFrame:
     return named.where((F.length("class") >= 2) & F.col("ltag").rlike("^[nv]") & ~F.col("ftag").startswith("v") & long_).select("class", "tokens")
 
 
-def soft_classes(words: DataFrame, pos: DataFrame, tokens: str = "tokens", glue: str = "", rounds: int = 8) -> DataFrame:
+def soft_classes(words: DataFrame, pos: DataFrame, tokens: str = "tokens", glue: str = "") -> DataFrame:
     """word, class with soft validity; classes that are found become words themselves until nothing is new."""
     known = settle(words.select("word", F.col(tokens).alias("tokens")))
     todo, out = known, None
-    for _ in range(rounds):
+    while True:  # classes are endings of words, so they get shorter and come to an end
         ends = F.transform(F.sequence(F.lit(1), F.size("tokens")), lambda i: F.slice("tokens", i, F.size("tokens")))
         made = todo.where(F.size("tokens") > 0).select("word", F.explode(ends).alias("tokens")).withColumn("class", F.array_join("tokens", glue))
         valid = soft_valid(made.select("class", "tokens").distinct(), pos)
@@ -170,19 +172,20 @@ def triples(pairs: DataFrame) -> DataFrame:
     return pairs.where("word <> class").select(F.col("word").alias("s"), F.lit("isA").alias("p"), F.col("class").alias("o")).distinct()
 
 
-def connected(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """node, root for each node of edges (a, b): the smallest node of its component.
 
     Minimum labels travel along edges and then to the label's own label, so that chains shorten by half in each round.
     """
     both = settle(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")))
-    for _ in range(rounds):
+    while True:
         theirs = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         near = labels.join(theirs, "node").select("node", F.least("root", "near").alias("root"))
         jump = near.join(labels.select(F.col("node").alias("root"), F.col("root").alias("far")), "root").select("node", F.least("root", "far").alias("root"))
         after = settle(jump)
         moved = after.join(labels.withColumnRenamed("root", "old"), "node").where("root <> old").limit(1).count()
+        discard(labels)
         labels = after
         if not moved:
             break
@@ -201,12 +204,12 @@ def seeded_classes(pairs: DataFrame, seeds: DataFrame) -> DataFrame:
     return rated.groupBy("class").agg(F.bool_or("hit").alias("seeded"))
 
 
-def closure(edges: DataFrame, rounds: int = 32) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """Different (ancestor, descendant, depth) of a taxonomy (parent, child), depth the fewest steps."""
     step = settle(edges.select("parent", "child").distinct())
     known = settle(step.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).cast("long").alias("depth")))
     front = known
-    for depth in range(2, rounds + 1):
+    for depth in count(2):  # ends, since each pair is new once
         reached = front.join(step, F.col("descendant") == F.col("parent")).select("ancestor", F.col("child").alias("descendant")).distinct()
         front = settle(reached.join(known.select("ancestor", "descendant"), ["ancestor", "descendant"], "left_anti").withColumn("depth", F.lit(depth).cast("long")))
         if not front.limit(1).count():

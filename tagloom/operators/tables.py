@@ -7,6 +7,13 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.sources.workspace import settle
+from tagloom.sources.writers import write_tsv
+
+
+#: Most rows of the right side of a product.
+PRODUCT_ROWS = 100_000
+
 
 def rows_in_set(rows: DataFrame, column: str, values: DataFrame) -> DataFrame:
     """Rows whose ``column`` is among the values (first column of ``values``); repeated rows stay."""
@@ -22,12 +29,18 @@ def merge(*tables: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list, name: str = "n") -> DataFrame:
-    """Rows numbered from 1 in the given order without meeting in one task: ranks within ranges, plus the ranges' starts."""
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_size"))
+    """Rows numbered from 1 in the given order without meeting in one task: places within ranges, plus the ranges' starts.
+
+    The ranges are written once, so that both sides of the sum see the same ones whatever the planner makes of them.
+    Ties are spread over ranges, and ordered, by a hash of the other columns.
+    """
+    tie = F.xxhash64(*(F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()))
+    ranges = df.repartitionByRange(*order, tie).sortWithinPartitions(*order, tie).withColumn("_id", F.monotonically_increasing_id())
+    ranges = settle(ranges).withColumn("_part", F.shiftright("_id", 33))
+    sizes = ranges.groupBy("_part").agg(F.count("*").alias("_size"))  # as many rows as there are ranges
     starts = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("_part").orderBy(*order)
-    return parts.withColumn("_row", F.row_number().over(within)).join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_row")).drop("_part", "_row", "_start")
+    place = F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return ranges.join(F.broadcast(starts), "_part").withColumn(name, place).drop("_part", "_id", "_start")
 
 
 def zip_rows(left: DataFrame, right: DataFrame, left_order: list, right_order: list) -> DataFrame:
@@ -62,7 +75,12 @@ def sample_rows(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
 
 def set_product(left: DataFrame, right: DataFrame, a: str, b: str, name: str = "line") -> DataFrame:
-    """All concatenations of a value of one side with one of the other; the right side is a short list."""
+    """All concatenations of a value of one side with one of the other; the right side is a short list.
+
+    Its length is checked, since the result has as many rows as both lengths multiplied.
+    """
+    if right.limit(PRODUCT_ROWS + 1).count() > PRODUCT_ROWS:
+        raise ValueError(f"the right side of a product has more than {PRODUCT_ROWS} rows")
     return left.select(a).crossJoin(right.select(b)).select(F.concat(a, b).alias(name))
 
 
@@ -105,6 +123,13 @@ def run_command(tables: dict[str, DataFrame], command: str) -> DataFrame:
     return rows.where(F.expr(cell(c["where"]))).select(*chosen)
 
 
+def save_command(tables: dict[str, DataFrame], command: str, folder: str) -> str:
+    """Write the rows of a command as a text table under the name of its ``to`` in ``folder``; the path is returned."""
+    path = f"{folder.rstrip('/')}/{parse_command(command)['to'].strip().replace('/', '_')}"
+    write_tsv(run_command(tables, command), path)
+    return path
+
+
 def _top_level(text: str) -> list[str]:
     """Parts between commas that aren't within brackets or quotes."""
     out, depth, quoted, part = [], 0, False, ""

@@ -59,17 +59,17 @@ def dict_load(spark, sf_dir):
 
 #: Words of the lines of documents: lines ln (line, t: tokens).
 LINES = r"""ln AS (SELECT row_number() OVER () AS line, regexp_extract_all(lower(x), '(\p{L}+)', 1) AS t FROM (SELECT unnest(string_split(text, chr(10))) AS x FROM documents)),
-w AS (SELECT line, unnest(t) AS token, generate_subscripts(t, 1) AS i, len(t) AS n FROM ln),
-uni AS (SELECT token, count(*) AS n FROM w GROUP BY 1),
-x AS (SELECT *, lead(token, 1) OVER o AS t2, lead(token, 2) OVER o AS t3, lead(token, 3) OVER o AS t4, lead(token, 4) OVER o AS t5 FROM w WINDOW o AS (PARTITION BY line ORDER BY i)),
-pl AS (SELECT token || ' ' || t2 AS chunk, 2 AS k, t3 AS nx, token AS prefix, t2 AS last FROM x WHERE t2 IS NOT NULL UNION ALL SELECT token || ' ' || t2 || ' ' || t3, 3, t4, token || ' ' || t2, t3 FROM x WHERE t3 IS NOT NULL
+w AS MATERIALIZED (SELECT line, unnest(t) AS token, generate_subscripts(t, 1) AS i, len(t) AS n FROM ln),
+uni AS MATERIALIZED (SELECT token, count(*) AS n FROM w GROUP BY 1),
+x AS MATERIALIZED (SELECT *, lead(token, 1) OVER o AS t2, lead(token, 2) OVER o AS t3, lead(token, 3) OVER o AS t4, lead(token, 4) OVER o AS t5 FROM w WINDOW o AS (PARTITION BY line ORDER BY i)),
+pl AS MATERIALIZED (SELECT token || ' ' || t2 AS chunk, 2 AS k, t3 AS nx, token AS prefix, t2 AS last FROM x WHERE t2 IS NOT NULL UNION ALL SELECT token || ' ' || t2 || ' ' || t3, 3, t4, token || ' ' || t2, t3 FROM x WHERE t3 IS NOT NULL
 UNION ALL SELECT token || ' ' || t2 || ' ' || t3 || ' ' || t4, 4, t5, token || ' ' || t2 || ' ' || t3, t4 FROM x WHERE t4 IS NOT NULL),
-g AS (SELECT chunk, k, any_value(prefix) AS prefix, any_value(last) AS last, count(*) AS n FROM pl GROUP BY chunk, k)"""
-ENTROPY = """f0 AS (SELECT chunk, k, coalesce(nx, 'EOS') AS nx, count(*) AS n FROM pl GROUP BY ALL),
-f1 AS (SELECT chunk, nx, CAST(sum(n) AS DOUBLE) AS n FROM (SELECT chunk, nx, n FROM f0 UNION ALL SELECT chunk, 'EOS', sum(n) FROM f0 WHERE k = 4 GROUP BY 1) GROUP BY ALL),
-ent AS (SELECT chunk, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS entropy FROM f1 GROUP BY 1 HAVING ln(sum(n)) - sum(n * ln(n)) / sum(n) > 1e-12)"""
-PMI = """pre AS (SELECT chunk AS prefix, n AS np FROM g UNION ALL SELECT token, n FROM uni),
-pmi AS (SELECT chunk, g.n AS n, ln((g.n / np) / (uni.n / (SELECT CAST(sum(n) AS DOUBLE) FROM uni))) AS pmi FROM g JOIN pre USING (prefix) JOIN uni ON uni.token = g.last WHERE ln((g.n / np) / (uni.n / (SELECT CAST(sum(n) AS DOUBLE) FROM uni))) > 0)"""
+g AS MATERIALIZED (SELECT chunk, k, any_value(prefix) AS prefix, any_value(last) AS last, count(*) AS n FROM pl GROUP BY chunk, k)"""
+ENTROPY = """f0 AS MATERIALIZED (SELECT chunk, k, coalesce(nx, 'EOS') AS nx, count(*) AS n FROM pl GROUP BY ALL),
+f1 AS MATERIALIZED (SELECT chunk, nx, CAST(sum(n) AS DOUBLE) AS n FROM (SELECT chunk, nx, n FROM f0 UNION ALL SELECT chunk, 'EOS', sum(n) FROM f0 WHERE k = 4 GROUP BY 1) GROUP BY ALL),
+ent AS MATERIALIZED (SELECT chunk, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS entropy FROM f1 GROUP BY 1 HAVING ln(sum(n)) - sum(n * ln(n)) / sum(n) > 1e-12)"""
+PMI = """pre AS MATERIALIZED (SELECT chunk AS prefix, n AS np FROM g UNION ALL SELECT token, n FROM uni),
+pmi AS MATERIALIZED (SELECT chunk, g.n AS n, ln((g.n / np) / (uni.n / (SELECT CAST(sum(n) AS DOUBLE) FROM uni))) AS pmi FROM g JOIN pre USING (prefix) JOIN uni ON uni.token = g.last WHERE ln((g.n / np) / (uni.n / (SELECT CAST(sum(n) AS DOUBLE) FROM uni))) > 0)"""
 
 
 def lines(spark, sf_dir):
@@ -93,13 +93,14 @@ def ngram_counts(spark, sf_dir):
 
 @query("right_entropy", f"WITH {LINES}, {ENTROPY} SELECT chunk, round(entropy, 6) AS entropy FROM ent")
 def right_entropy(spark, sf_dir):
-    return named(phrases.right_entropy(phrases.chunks(lines(spark, sf_dir)))).withColumn("entropy", F.round("entropy", 6))
+    return named(phrases.right_entropy(phrases.follow(phrases.chunks(lines(spark, sf_dir))))).withColumn("entropy", F.round("entropy", 6))
 
 
 @query("chunk_pmi", f"WITH {LINES}, {PMI} SELECT chunk, round(pmi, 6) AS pmi FROM pmi")
 def chunk_pmi(spark, sf_dir):
     tokens = lines(spark, sf_dir)
-    return named(phrases.chunk_pmi(phrases.ngrams(phrases.chunks(tokens)), phrases.unigrams(tokens))).withColumn("pmi", F.round("pmi", 6))
+    grams, words = settle(phrases.ngrams(phrases.chunks(tokens))), settle(phrases.unigrams(tokens))
+    return named(phrases.chunk_pmi(grams, words)).select("chunk", F.round("pmi", 6).alias("pmi"))
 
 
 @query("new_words", f"WITH {LINES}, {ENTROPY}, {PMI} SELECT chunk AS surface, n, round(pmi, 6) AS pmi, round(entropy, 6) AS entropy FROM pmi JOIN ent USING (chunk) WHERE n >= 2 AND pmi >= 0.5 AND entropy >= 0.5")

@@ -148,8 +148,8 @@ def split_by_arity(spark, sf_dir):
 @query("sort_rows", "SELECT row_number() OVER (ORDER BY CAST(o_totalprice AS INTEGER) DESC, o_orderkey DESC) AS place, o_orderkey FROM orders ORDER BY 1 LIMIT 100")
 def sort_rows(spark, sf_dir):
     o = load(spark, sf_dir, "orders").select(F.array(F.lpad(F.col("o_orderkey").cast("string"), 12, "0"), F.round("o_totalprice").cast("int").cast("string")).alias("cols"))
-    first = tables.sort_rows(o, 1).limit(100)
-    return tables.numbered(first, [F.col("cols")[1].cast("int").desc(), F.col("cols")[0].desc()], "place").select(F.col("place").cast("long").alias("place"), F.col("cols")[0].cast("long").alias("o_orderkey"))
+    placed = tables.numbered(tables.sort_rows(o, 1), [F.col("cols")[1].cast("int").desc(), F.col("cols")[0].desc()], "place").where("place <= 100")
+    return placed.select(F.col("place").cast("long").alias("place"), F.col("cols")[0].cast("long").alias("o_orderkey"))
 
 
 @query("sample_rows")
@@ -180,6 +180,13 @@ def mini_sql_union(spark, sf_dir):
     return tables.run_command({"a": n, "b": r}, 'SELECT lower(x[0]) FROM a+b WHERE lower(x[0]) <> "ASIA"')
 
 
+@query("mini_sql_to", "SELECT n_name AS name, CAST(n_nationkey AS VARCHAR) AS k FROM nation WHERE n_regionkey = 2")
+def mini_sql_to(spark, sf_dir):
+    n = load(spark, sf_dir, "nation").select(F.array(F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string")).alias("cols"))
+    path = tables.save_command({"nation.txt": n}, "select x[1], x[0] from nation.txt where x[2] = '2' to found.txt", fresh_path(spark))
+    return readers.read_tsv(spark, path).select(F.col("cols")[0].alias("name"), F.col("cols")[1].alias("k"))
+
+
 # -- corpus and text functions
 
 
