@@ -24,8 +24,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.keep_one(docs, SHINGLE, similarity=SIMILARITY)
+    """One document of each group of near-duplicates; null and empty texts are alike, and one of them stays."""
+    return simhash.keep_one(docs, SHINGLE, SIMILARITY)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ STAGES = [
     ("bpe", bpe_stage),
 ]
 
-#: SQL can express neither the model nor fingerprints nor BPE; tests hold run() against a brute-force version.
+#: SQL can express neither the model nor fingerprints nor BPE; tests hold run() against plain versions of its stages.
 ORACLE_SQL = None
 
 
