@@ -2,27 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one is made only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tagloom-")
-        atexit.register(shutil.rmtree, found.removeprefix("file://"), True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from tagloom.sources.workspace import discard, fresh_path, load, shared_dir  # noqa: F401  (the operators take them from here)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -31,7 +19,7 @@ def materialize(df: DataFrame) -> DataFrame:
     Shuffle files of the finished plan are given back at once, since later steps no longer need them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tagloom/{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     df.write.parquet(path)
     schema = df.schema
     del df
@@ -42,19 +30,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by :func:`materialize` that nothing reads any more."""
-    path = df._tagloom_path
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(conf).delete(at, True)
-
-
-def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """One of the input tables."""
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
 def scan(df: DataFrame, rows: Callable[[pa.RecordBatch], list | dict | None], schema: str | T.StructType, setup: Callable | None = None) -> DataFrame:
     """``mapInArrow`` where ``rows`` turns a batch into columns for ``schema``.
 
@@ -98,5 +73,3 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 def only(docs: DataFrame, *columns: str) -> DataFrame:
     """Just the named columns, so that no other column of the input can clash with what an operator adds."""
     return docs.select(*(F.col(f"`{c}`") for c in columns))
-
-

@@ -139,9 +139,27 @@ def segments(docs: DataFrame, unit: Unit, text: str = "text") -> DataFrame:
     return scan(only(docs, text), rows, "anchor long, dg long, tk long, tc long, start long, count int")
 
 
+BODIES = "anchor long, dg long, n long, c int, of struct<anchor:long,dg:long>, at int, body binary"
+
+
+def finer(a: int, d: int, n: int, body: bytes, unit: Unit, level: int) -> list[tuple]:
+    """Rows of BODIES: the parts of a body by anchors of another level, ``at`` where they begin in it.
+
+    c is 2 if the anchor stands at several places of the part, else 1.
+    """
+    begins = unit.begins(body)
+    found, first, count, several = runs_of(body, unit, level)
+    keys = mix(found ^ np.uint64(a & (1 << 64) - 1)).view(np.int64)
+    parts = [unit.cut(body, begins, f, f + c + unit.window - 1) for f, c in zip(first.tolist(), count.tolist(), strict=True)]
+    return [(x, digest(part), n, 1 + s, {"anchor": a, "dg": d}, f, part) for x, f, s, part in zip(keys.tolist(), first.tolist(), several.tolist(), parts, strict=True)]
+
+
 def fetch(docs: DataFrame, wanted: DataFrame, unit: Unit, text: str) -> DataFrame:
-    """Contents of the wanted segments (anchor, dg, n, tk, tc, start, count): anchor, dg, n and body."""
-    per_text = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("anchor", "dg", "n", "start", "count")).alias("want"))
+    """Contents (rows of BODIES) of the wanted segments (anchor, dg, n, crowded, tk, tc, start, count).
+
+    Those of crowded anchors come as their parts by finer anchors; ``of`` is null for the others.
+    """
+    per_text = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("anchor", "dg", "n", "crowded", "start", "count")).alias("want"))
     joined = with_key(docs, text).join(per_text, list(KEY)).select("_body", "want")
 
     def run(batches):
@@ -155,30 +173,20 @@ def fetch(docs: DataFrame, wanted: DataFrame, unit: Unit, text: str) -> DataFram
                     done.clear()
                 line = unit.line(raw.as_py().encode())
                 begins = unit.begins(line)
-                done.update((w["anchor"], w["dg"]) for w in want)
-                out = [(w["anchor"], w["dg"], w["n"], unit.cut(line, begins, w["start"], w["start"] + w["count"] + unit.window - 1)) for w in want]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["anchor", "dg", "n", "body"])
+                out = []
+                for w in want:
+                    a, d, n = w["anchor"], w["dg"], w["n"]
+                    done.add((a, d))
+                    body = unit.cut(line, begins, w["start"], w["start"] + w["count"] + unit.window - 1)
+                    out += finer(a, d, n, body, unit, 1) if w["crowded"] else [(a, d, n, 1, None, 0, body)]
+                yield _batch(out)
 
-    return joined.mapInArrow(run, "anchor long, dg long, n long, body binary")
+    return joined.mapInArrow(run, BODIES)
 
 
-def finer(bodies: DataFrame, unit: Unit, level: int) -> DataFrame:
-    """Parts of the bodies (anchor, dg, n, body) by anchors of another level: ``of`` (anchor, dg), ``at`` and anchor, dg, n, c, body.
-
-    c is 2 if the anchor stands at several places of the part, else 1.
-    """
-
-    def rows(batch: pa.RecordBatch) -> list | None:
-        out = []
-        for a, d, n, body in zip(*(batch.column(c).to_pylist() for c in ("anchor", "dg", "n", "body")), strict=True):
-            begins = unit.begins(body)
-            found, first, count, several = runs_of(body, unit, level)
-            for x, f, c, s in zip(mix(found ^ np.uint64(a & (1 << 64) - 1)).view(np.int64).tolist(), first.tolist(), count.tolist(), several.tolist(), strict=True):
-                part = unit.cut(body, begins, f, f + c + unit.window - 1)
-                out.append(({"anchor": a, "dg": d}, f, x, digest(part), n, 1 + s, part))
-        return list(map(list, zip(*out, strict=True))) if out else None
-
-    return scan(bodies.select("anchor", "dg", "n", "body"), rows, "of struct<anchor:long,dg:long>, at int, anchor long, dg long, n long, c int, body binary")
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.struct([("anchor", pa.int64()), ("dg", pa.int64())]), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["anchor", "dg", "n", "c", "of", "at", "body"])
 
 
 def merged(starts: np.ndarray, window: int) -> list[int]:
@@ -212,15 +220,20 @@ def indexed(bodies: DataFrame, unit: Unit) -> DataFrame:
     return dealt.mapInArrow(run, "anchor long, dg long, spans array<int>")
 
 
-def settled(bodies: DataFrame, unit: Unit, many: int, level: int) -> DataFrame:
-    """:func:`indexed` of bodies of crowded anchors, dealt by finer anchors as long as too many contents share one."""
-    parts = finer(bodies, unit, level)
+def settled(parts: DataFrame, unit: Unit, many: int, level: int) -> DataFrame:
+    """anchor, dg and spans of the bodies that ``parts`` (BODIES) belong to, dealt by finer anchors as long as too many contents share one."""
+    parts = parts.dropDuplicates(["of", "at", "anchor"])
     again = materialize(parts.groupBy("anchor").agg(F.sum(F.col("n") * F.col("c")).alias("n")).where("n > 1").select("anchor"))
     parts = materialize(parts.join(again, "anchor", "left_semi"))  # finer anchors that occur once hold no repeat
     contents = parts.groupBy("anchor", "dg").agg(F.sum("n").alias("n"), F.any_value("body").alias("body"))
     crowded = materialize(contents.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > many).select("anchor"))
     if level < LEVELS and crowded.limit(1).count():
-        found = indexed(contents.join(crowded, "anchor", "left_anti"), unit).unionByName(settled(materialize(contents.join(crowded, "anchor", "left_semi")), unit, many, level + 1))
+        def rows(batch: pa.RecordBatch) -> list:
+            out = [r for a, d, n, body in zip(*(batch.column(c).to_pylist() for c in ("anchor", "dg", "n", "body")), strict=True) for r in finer(a, d, n, body, unit, level + 1)]
+            return _batch(out).columns if out else None
+
+        deeper = materialize(scan(contents.join(crowded, "anchor", "left_semi").select("anchor", "dg", "n", "body"), rows, BODIES))
+        found = indexed(contents.join(crowded, "anchor", "left_anti"), unit).unionByName(settled(deeper, unit, many, level + 1))
     else:
         found = indexed(contents, unit)
     back = parts.select("of", "at", "anchor", "dg").join(found, ["anchor", "dg"])
@@ -235,14 +248,15 @@ def repeated_windows(docs: DataFrame, unit: Unit, text: str = "text", many: int
     again = anchors(docs, unit, text).groupBy("anchor").agg(F.sum("c").alias("n")).where("n > 1").select("anchor")
     rows = materialize(segments(docs, unit, text).join(materialize(again), "anchor", "left_semi"))
     contents = materialize(rows.groupBy("anchor", "dg").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "start", "count")).alias("x")).select("anchor", "dg", "n", "x.*"))
-    crowded = materialize(contents.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > many).select("anchor"))
-    spans = indexed(fetch(docs, contents.join(crowded, "anchor", "left_anti"), unit, text), unit)
-    if crowded.limit(1).count():
-        bodies = materialize(fetch(docs, contents.join(crowded, "anchor", "left_semi"), unit, text).dropDuplicates(["anchor", "dg"]))
-        spans = spans.unionByName(settled(bodies, unit, many, 1))
+    crowded = contents.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > many).select("anchor", F.lit(True).alias("crowded"))
+    bodies = materialize(fetch(docs, contents.join(crowded, "anchor", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False))), unit, text))
+    spans = indexed(bodies.where("of is null"), unit)
+    parts = bodies.where("of is not null")
+    if parts.limit(1).count():
+        spans = spans.unionByName(settled(parts, unit, many, 1))
     spans = materialize(spans)
     out = materialize(rows.join(spans, ["anchor", "dg"]).groupBy(*KEY).agg(F.collect_set(F.struct("start", "spans")).alias("found")))
-    for t in (rows, contents, crowded, spans):
+    for t in (rows, contents, bodies, spans):
         discard(t)
     return out
 
