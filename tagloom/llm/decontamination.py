@@ -4,20 +4,22 @@ A passage is any stretch of ``length`` normal characters of a benchmark item, at
 item.  A text region within k edits of a passage of m characters shares at least m - q + 1 - k q of its q-grams, on
 diagonals that spread over at most k.  Windows with fewer shared q-grams are passed over; in the others the q-grams
 of whole items are counted in overlapping diagonal bands, and all passages that reach the bound in a band are
-verified by banded alignment, many at a time.
+verified by banded alignment, many at a time.  Equal passages of an item are looked for once, and texts are worked off
+in slices that overlap by a passage, so memory doesn't grow with the text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tagloom.llm.common import only, scan, texts
+from tagloom.llm.common import materialize, only, scan, texts
 from tagloom.llm.licenses import normal_words
 from tagloom.llm.windows import BYTE_HASH, mix
 
@@ -26,6 +28,12 @@ BLOCK_CHARS = 1 << 20
 _STEP = np.random.default_rng(7).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+#: Characters of text that are looked at together, and pairs of a text place and an item place that are held at a time.
+SLICE, PAIRS = 8192, 1 << 20
+#: Neighbouring bands that are aligned together at most.
+MERGED = 4
+
+
 @dataclass(frozen=True)
 class Rule:
     """length: of passages in normal characters; step: of passages of one stretch as they are counted; edit_rate: edits for each character; q: size of a gram."""
@@ -38,9 +46,13 @@ class Rule:
     def edits(self, m: int) -> int:
         return int(m * self.edit_rate)
 
+    def gram(self, m: int) -> int:
+        """Size of grams for passages of m characters: smaller for short ones, so that the lemma promises one at least."""
+        return min(self.q, m // (self.edits(m) + 1))
+
     def shared(self, m: int) -> int:
-        """Grams that a passage of m characters shares at least with a region that matches; 1 where the lemma gives none."""
-        return max(1, m - self.q + 1 - self.edits(m) * self.q)
+        """Grams that a passage of m characters shares at least with a region that matches."""
+        return m + 1 - self.gram(m) * (self.edits(m) + 1)
 
 
 def normal(text: str) -> bytes:
@@ -67,83 +79,173 @@ def grams(line: bytes, q: int) -> np.ndarray:
     return mix(out)
 
 
-class Index:
-    """Items with their grams, and a table of bits that tells which hashes may be among them."""
+class Item:
+    """A benchmark item: its key, normal form, passage length m, edits k, gram size q and least number of shared grams.
 
-    def __init__(self, items: list[tuple[int, str]], rule: Rule):
-        self.rule = rule
-        lines = ((item, normal(text or "")) for item, text in items)
-        self.items = [(item, line) for item, line in lines if len(line) >= rule.q]
-        made = [grams(line, rule.q) for _, line in self.items]
-        keys = np.concatenate(made) if made else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(made)), [len(g) for g in made])
-        offset = np.concatenate([np.arange(len(g)) for g in made]) if made else np.zeros(0, np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.owner, self.offset = keys[order], owner[order], offset[order]
-        bits = max(16, int(32 * max(1, len(keys)) - 1).bit_length())
-        self.shift = np.uint64(64 - bits)
-        self.table = np.zeros(1 << bits, bool)
-        self.table[keys >> self.shift] = True
-        lengths = [min(len(line), rule.length) for _, line in self.items]
-        self.least = min((rule.shared(m) for m in lengths), default=1)
-        self.span = max((m + rule.edits(m) for m in lengths), default=0)
+    ``first`` tells which starts of passages are the first ones of their content, ``same`` for each start the first
+    one of the same content.
+    """
 
-    def find(self, line: bytes) -> list[tuple[int, int, int, int, int]]:
-        """(item, start, end, fewest edits, passages) of each stretch of an item that matches in a normal line."""
-        h = grams(line, self.rule.q)
-        if not len(h) or not len(self.keys):
-            return []
-        hit = np.flatnonzero(self.table[h >> self.shift])
+    def __init__(self, key, line: bytes, rule: Rule):
+        self.key, self.line, self.m = key, line, min(len(line), rule.length)
+        self.k, self.q, self.least = rule.edits(self.m), rule.gram(self.m), rule.shared(self.m)
+        self.whole_words = len(line) < rule.q  # an item so short counts only where it stands as words of its own
+        _, at, of = np.unique(grams(line, self.m), return_index=True, return_inverse=True)
+        self.same = at[of]
+        self.first = np.zeros(len(of), bool)
+        self.first[at] = True
+        cover = np.zeros(len(of) + self.m - self.q + 2, np.int64)
+        np.add.at(cover, at, 1)
+        np.add.at(cover, at + self.m - self.q + 1, -1)
+        self.offsets = np.flatnonzero(np.cumsum(cover)[:-1] > 0)  # grams of first passages
+
+
+class Table:
+    """Items of one gram size with their grams, and a table of bits that tells which hashes may be among them."""
+
+    def __init__(self, items: list[Item], q: int):
+        self.items, self.q = items, q
+        keys = np.concatenate([grams(x.line, q)[x.offsets] for x in items])
+        owner = np.repeat(np.arange(len(items)), [len(x.offsets) for x in items])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owner, self.offset = keys[order], owner[order], np.concatenate([x.offsets for x in items])[order]
+        self.shift = np.uint64(64 - max(16, int(32 * len(keys) - 1).bit_length()))
+        self.bits = np.zeros(1 << 64 - int(self.shift), bool)
+        self.bits[keys >> self.shift] = True
+        self.least, self.span = min(x.least for x in items), max(x.m + x.k for x in items)
+
+    def find(self, line: bytes, found: dict) -> None:
+        """Add to ``found``, by item, the passages that match in a normal line: (start, begin, end, edits) of each."""
+        h = grams(line, self.q)
+        hit = np.flatnonzero(self.bits[h >> self.shift]) if len(h) else h
         if len(hit) < self.least:
-            return []
+            return
         # of each run of `least` hits, those that one matching region can hold
-        near = hit[self.least - 1 :] - hit[: len(hit) - self.least + 1] <= self.span
-        if not near.any():
-            return []
+        near = np.flatnonzero(hit[self.least - 1 :] - hit[: len(hit) - self.least + 1] <= self.span)
         keep = np.zeros(len(hit) + 1, np.int64)
-        np.add.at(keep, np.flatnonzero(near), 1)
-        np.add.at(keep, np.flatnonzero(near) + self.least, -1)
+        np.add.at(keep, near, 1)
+        np.add.at(keep, near + self.least, -1)
         hit = hit[np.cumsum(keep)[:-1] > 0]
+        if not len(hit):
+            return
         low, high = np.searchsorted(self.keys, h[hit], "left"), np.searchsorted(self.keys, h[hit], "right")
-        count = high - low
-        at = np.repeat(hit, count)
-        rows = np.repeat(low - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-        return self._bands(line, self.owner[rows], self.offset[rows], at)
-
-    def _bands(self, line: bytes, owner: np.ndarray, offset: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        found = []
-        if not len(owner):
-            return found
-        order = np.argsort(owner, kind="stable")
-        owner, offset, at = owner[order], offset[order], at[order]
-        cuts = np.flatnonzero(np.r_[True, np.diff(owner) != 0])
-        for a, b in zip(cuts, np.r_[cuts[1:], len(owner)], strict=True):
-            item, text = self.items[owner[a]]
-            m = min(len(text), self.rule.length)
-            k, least = self.rule.edits(m), self.rule.shared(m)
-            if b - a < least:
+        real = high > low
+        hit, low, high = hit[real], low[real], high[real]
+        a = 0
+        while a < len(hit):  # a slice of places, and behind it as many as a region that begins in it may take
+            b = int(np.searchsorted(hit, hit[a] + SLICE))
+            z = int(np.searchsorted(hit, hit[b - 1] + self.span))
+            self._slice(line, hit[a:z], low[a:z], high[a:z], found)
+            a = b
+
+    def _slice(self, line: bytes, hit: np.ndarray, low: np.ndarray, high: np.ndarray, found: dict) -> None:
+        counts = high - low
+        total = np.cumsum(counts)
+
+        def pairs():
+            """Owners, offsets and places, some at a time."""
+            for part in np.split(np.arange(len(hit)), np.flatnonzero(np.diff(total // PAIRS)) + 1):
+                n = counts[part]
+                rows = np.repeat(low[part] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                yield self.owner[rows], self.offset[rows], np.repeat(hit[part], n)
+
+        each = sum(np.bincount(owner, minlength=len(self.items)) for owner, _, _ in pairs())
+        wanted = np.flatnonzero(each >= [x.least for x in self.items])
+        for some in np.split(wanted, np.flatnonzero(np.diff(np.cumsum(each[wanted]) // PAIRS)) + 1):
+            if not len(some):
+                continue
+            asked = np.zeros(len(self.items), bool)
+            asked[some] = True
+            owner, offset, at = (np.concatenate(c) for c in zip(*((o[k], f[k], p[k]) for o, f, p in pairs() for k in [asked[o]]), strict=True))
+            order = np.argsort(owner, kind="stable")
+            cuts = np.flatnonzero(np.diff(owner[order])) + 1
+            for rows in np.split(order, cuts):
+                self._bands(line, int(owner[rows[0]]), offset[rows], at[rows], found)
+
+    def _bands(self, line: bytes, owner: int, offset: np.ndarray, at: np.ndarray, found: dict) -> None:
+        x = self.items[owner]
+        if x.whole_words:  # the item is one gram
+            free = [a for a in at.tolist() if (a == 0 or line[a - 1] == 32) and (a + x.m == len(line) or line[a + x.m] == 32)]
+            if free:
+                begin = np.array(free)
+                found.setdefault(x, []).append((begin * 0, begin, begin + x.m, begin * 0))
+            return
+        order = np.lexsort((offset, at - offset))
+        diagonal, offset = (at - offset)[order], offset[order]
+        width, last = x.k + 1, len(x.line) - x.m
+        band = np.floor_divide(diagonal, width)
+        both = np.concatenate([band, band - 1])  # band n holds diagonals from n * width over 2 * width
+        base, n = int(both.min()), len(x.line)
+        table = np.unique((both - base) * n + np.tile(offset, 2))
+        numbers, begin, counts = np.unique(table // n + base, return_index=True, return_counts=True)
+        table %= n
+        crowds: list[list] = []  # first band, last band, starts
+        for n, f, c in zip(numbers.tolist(), begin.tolist(), counts.tolist(), strict=True):
+            if c < x.least:
                 continue
-            diagonal, width = at[a:b] - offset[a:b], k + 1
-            band = np.floor_divide(diagonal, width)
-            bands = np.concatenate([band, band - 1])  # band n holds diagonals from n * width over 2 * width
-            pairs = np.unique(np.stack([bands, np.tile(offset[a:b], 2)]), axis=1)
-            numbers, first, counts = np.unique(pairs[0], return_index=True, return_counts=True)
-            seen, matched = None, np.zeros(0, np.int64)
-            for n, f, c in zip(numbers.tolist(), first.tolist(), counts.tolist(), strict=True):
-                if c < least:
-                    continue
-                starts = crowded(pairs[1, f : f + c], least, m - self.rule.q, len(text) - m)
-                if seen is not None and n - seen == 1:
-                    starts = starts[~np.isin(starts, matched)]  # the neighbour overlaps a band where these matched
-                begin, end, edits = align_all(text, starts, m, line, n * width, 2 * width, k)
-                good = edits <= k
-                starts, begin, end, edits = starts[good], begin[good], end[good], edits[good]
-                seen, matched = n, starts
-                if len(starts):
-                    for run in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(starts) > 1) + 1):
-                        passages = 1 - (int(starts[run[0]]) - int(starts[run[-1]])) // self.rule.step
-                        found.append((item, int(begin[run].min()), int(end[run].max()), int(edits[run].min()), passages))
-        return found
+            starts = crowded(table[f : f + c], x.least, x.m - x.q, last)
+            starts = starts[x.first[starts]]
+            if len(starts):
+                if crowds and n - crowds[-1][1] == 1 and n - crowds[-1][0] < MERGED:
+                    crowds[-1][1], crowds[-1][2] = n, np.union1d(crowds[-1][2], starts)
+                else:
+                    crowds.append([n, n, starts])
+        for low, high, starts in crowds:
+            a, b = low * width, (high + 2) * width
+            i, j = np.searchsorted(diagonal, [a, b])
+            one, other = unedited(diagonal[i:j], offset[i:j], x.m - x.q + 1, starts)
+            whole = one <= other
+            s = starts[whole]
+            rows = [(s, one[whole] + s, other[whole] + s + x.m, s * 0)]
+            if x.k and not whole.all():
+                rest = starts[~whole]
+                first, end, edits = align_all(x.line, rest, x.m, line, a, b - a, x.k)
+                rows.append(tuple(c[edits <= x.k] for c in (rest, first, end, edits)))
+            for s, first, end, edits in rows:
+                if len(s):
+                    found.setdefault(x, []).append((s, first, end, edits))
+
+
+class Index:
+    """Items by the size of their grams."""
+
+    def __init__(self, items: list[tuple[int, str]], rule: Rule):
+        self.rule = rule
+        by_size: dict[int, list[Item]] = {}
+        for key, text in items:
+            if line := normal(text or ""):
+                x = Item(key, line, rule)
+                by_size.setdefault(x.q, []).append(x)
+        self.tables = [Table(xs, q) for q, xs in sorted(by_size.items())]
+
+    def find(self, line: bytes) -> list[tuple[int, int, int, int, int]]:
+        """(item, start, end, fewest edits, passages) of each item with a passage that matches in a normal line."""
+        found: dict = {}
+        for t in self.tables:
+            t.find(line, found)
+        out = []
+        for x, hits in found.items():
+            met = np.zeros(len(x.same), bool)
+            for s, *_ in hits:
+                met[s] = True
+            runs = np.flatnonzero(np.diff(np.r_[False, met[x.same], False]))  # all starts whose content was found
+            passages = sum(1 + (b - a - 1) // self.rule.step for a, b in zip(runs[::2].tolist(), runs[1::2].tolist(), strict=True))
+            out.append((x.key, min(int(f.min()) for _, f, _, _ in hits), max(int(e.max()) for _, _, e, _ in hits), min(int(d.min()) for *_, d in hits), passages))
+        return out
+
+
+def unedited(d: np.ndarray, o: np.ndarray, n: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the starts the lowest and highest diagonal on which the n grams from there on all match; high before low if none.
+
+    The grams' diagonals and offsets are in order.
+    """
+    run = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (o[1:] != o[:-1] + 1), [True]]))
+    low, high = np.full(len(starts), np.iinfo(np.int64).max), np.full(len(starts), np.iinfo(np.int64).min)
+    for a, b in zip(run[:-1].tolist(), run[1:].tolist(), strict=True):
+        if b - a >= n:
+            i, j = np.searchsorted(starts, o[a]), np.searchsorted(starts, o[b - 1] - n + 1, "right")
+            low[i:j], high[i:j] = np.minimum(low[i:j], d[a]), np.maximum(high[i:j], d[a])
+    return low, high
 
 
 def crowded(offsets: np.ndarray, least: int, span: int, last: int) -> np.ndarray:
@@ -164,8 +266,8 @@ def crowded(offsets: np.ndarray, least: int, span: int, last: int) -> np.ndarray
 def align_all(item: bytes, starts: np.ndarray, m: int, line: bytes, diagonal: int, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """start, end and edits of the closest region of ``line`` for each passage of m characters of ``item`` from ``starts``.
 
-    As :func:`align` with the diagonals of the whole item, over all passages at once; edits are over k where there
-    is no region.
+    The path stays in the diagonals of the whole item from ``diagonal`` on over ``width``, and k beside them; edits are
+    over k where there is no region.
     """
     low, size = diagonal - k, width + 2 * k + 1
     big = k + m + len(line) + 1
@@ -195,41 +297,10 @@ def align_all(item: bytes, starts: np.ndarray, m: int, line: bytes, diagonal: in
     return begin, end, edits
 
 
-def align(passage: bytes, line: bytes, diagonal: int, width: int, k: int) -> tuple[int, int, int] | None:
-    """(start, end, edits) of the closest region of ``line`` within k edits whose path stays in a band of diagonals."""
-    low = diagonal - k
-    size = width + 2 * k + 1
-    big = k + len(passage) + len(line) + 1
-    text = np.full(size + len(passage), 256, np.int64)
-    a, b = max(0, low), min(len(line), low + size + len(passage))
-    if b <= a:
-        return None
-    if (exact := line.find(passage, a, b)) >= 0:  # a path without edits needs no table
-        return exact, exact + len(passage), 0
-    text[a - low : b - low] = np.frombuffer(line, np.uint8)[a:b]
-    inside = (np.arange(size) + low >= 0) & (np.arange(size) + low <= len(line))
-    cost = np.where(inside, 0, big)  # cell d of row i is at text position i + low + d
-    start = np.arange(size) + low
-    step = np.arange(size)
-    up, before = np.full(size, big), np.zeros(size, np.int64)
-    for i, c in enumerate(passage):
-        same = cost + (text[i : i + size] != c)
-        up[:-1], before[:-1] = cost[1:] + 1, start[1:]
-        best = np.minimum(same, up)
-        begin = np.where(same <= up, start, before)
-        run = np.minimum.accumulate(best - step)
-        source = np.maximum.accumulate(np.where(best - step == run, step, 0))
-        cost, start = run + step, begin[source]
-        position = i + 1 + low + step
-        cost = np.where((position >= 0) & (position <= len(line)), cost, big)
-    d = int(np.argmin(cost))
-    return (int(start[d]), len(passage) + low + d, int(cost[d])) if cost[d] <= k else None
-
-
 def blocks(benchmark: DataFrame, limit: int = BLOCK_CHARS):
     """Lists of (item_id, text) of at most ``limit`` characters, or of one longer item; null texts are left out."""
     block, size = [], 0
-    for r in benchmark.where("text is not null").select("item_id", "text").toLocalIterator():
+    for r in benchmark.where("text is not null").select("item_id", "text").distinct().toLocalIterator():
         if block and size + len(r[1]) > limit:
             yield block
             block, size = [], 0
@@ -239,13 +310,14 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_CHARS):
         yield block
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:  # noqa: B008
-    """A row for each document and benchmark item with a match: ``keep``, item_id, n_passages, edits, start_word, end_word.
+def contaminated(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), text: str = "text", keep: tuple[str, ...] = ("doc_id",), block_chars: int = BLOCK_CHARS) -> DataFrame:  # noqa: B008
+    """A row for each row of docs and different benchmark row with a match: ``keep``, item_id, n_passages, edits, start_word, end_word.
 
     Words are those of the normal form, counted from 0, ends exclusive; edits are the fewest of a passage; passages
-    that follow one another are counted at the rule's step, the first and last always.  Texts
-    without a match, null and empty ones give no row; repeated documents give repeated rows, repeated items each
-    their own.  Only a block of the benchmark is held at a time, and every block meets every document.
+    are different ones of the item, those that follow one another counted at the rule's step.  Texts without a match,
+    null and empty ones give no row; repeated documents give repeated rows; benchmark rows that repeat id and text
+    count once, and null or empty ones never.  Items of fewer characters than a gram match where they stand as words.
+    Only a block of the benchmark is held at a time, and blocks don't change the result.
     """
     docs = only(docs, *dict.fromkeys((*keep, text)))
     schema = T.StructType([*docs.select(*keep).schema.fields, *T.StructType.fromDDL("item_id long, n_passages long, edits long, start_word long, end_word long").fields])
@@ -255,13 +327,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), tex
             at, out = [], []
             for i, t in enumerate(texts(batch, text)):
                 line = normal(t)
-                by_item: dict[int, list] = {}
-                for item, *hit in index.find(line):
-                    by_item.setdefault(item, []).append(hit)
-                for item, hits in sorted(by_item.items()):
-                    a, b = min(h[0] for h in hits), max(h[1] for h in hits)
-                    at.append(i)
-                    out.append((item, sum(h[3] for h in hits), min(h[2] for h in hits), line.count(b" ", 0, a), line.count(b" ", 0, b) + 1))
+                if hits := index.find(line):
+                    blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+                    for item, a, b, edits, passages in sorted(hits, key=lambda h: (h[0] is None, h[0] or 0, h[1:])):
+                        at.append(i)
+                        out.append((item, passages, edits, int(np.searchsorted(blanks, a)), int(np.searchsorted(blanks, b)) + 1))
             if not at:
                 return None
             chosen = batch.take(pa.array(at))
@@ -269,17 +339,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), tex
 
         return scan(docs, rows, schema, lambda: Index(items, rule))
 
-    found = None
-    for items in blocks(benchmark):
-        part = worker(items)
-        found = part if found is None else found.unionByName(part)
-    return docs.sparkSession.createDataFrame([], schema) if found is None else found
+    parts: list[DataFrame] = []
+    for items in blocks(benchmark, block_chars):
+        parts = [*parts[:-1], *(materialize(p) for p in parts[-1:]), worker(items)]  # earlier blocks are done with
+    return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), text: str = "text") -> DataFrame:  # noqa: B008
+def decontaminate(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:  # noqa: B008
     """``docs`` without the rows whose text matches a benchmark item; the others keep all columns.
 
-    Each block of the benchmark filters what the blocks before have kept.
+    Null and empty texts stay, whole texts are looked at however long, repeated rows are judged alike, and an empty
+    table stays empty.  Each block of the benchmark filters what the blocks before have kept.
     """
     names, schema = docs.columns, docs.schema
 
@@ -291,6 +361,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), te
 
         return scan(frame, rows, schema, lambda: Index(items, rule))
 
-    for items in blocks(benchmark):
-        docs = worker(items, docs)
+    for i, items in enumerate(blocks(benchmark, block_chars)):
+        docs = worker(items, materialize(docs) if i else docs)
     return docs
