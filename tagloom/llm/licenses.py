@@ -7,9 +7,12 @@ with at most k errors and gives the span.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Callable
+from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -31,6 +34,12 @@ NOTICES = {
     "cc-by": ("creative commons attribution",),
     "cc-by-nc": ("creative commons attribution noncommercial", "attribution non commercial"),
     "cc-by-sa": ("creative commons attribution sharealike", "attribution share alike"),
+    "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "licensed under the isc license"),
+    "zlib": ("this software is provided as is without any express or implied warranty in no event will the authors be held liable",),
+    "epl": ("eclipse public license",),
+    "unlicense": ("this is free and unencumbered software released into the public domain",),
+    "cc0": ("creative commons zero", "cc0 1 0 universal"),
+    "bsl": ("boost software license version 1 0",),
     "all-rights": ("all rights reserved",),
 }
 #: One edit is allowed for so many characters of a notice.
@@ -64,6 +73,7 @@ class Matcher:
         for seed, places in seeds.items():
             self.seeds.add_word(seed, (len(seed), places))
         self.seeds.make_automaton()
+        self.search = lru_cache(1 << 14)(self._search)  # notices are repeated more often than not
 
     def base_places(self, line: bytes) -> list[tuple[int, str]]:
         """(byte offset, label) of each base phrase in words joined by blanks, with a blank at both ends."""
@@ -76,27 +86,45 @@ class Matcher:
         return out
 
     def fuzzy(self, line: str) -> list[tuple[int, int, str, int, int]]:
-        """(start, end, label, edits, length of the template), one for each template and place, in ``line``."""
-        windows: dict[int, list[list[int]]] = {}
+        """(start, end, label, edits, length of the template) of what matches a template in ``line``.
+
+        Each seed is searched in a window of its own, little longer than the template; of matches of one template that
+        overlap, the one with the fewest edits counts.
+        """
+        begins: dict[int, set[int]] = {}
         for end, (size, places) in self.seeds.iter(line):
             for n, offset in places:
-                wording, _, edits, _ = self.templates[n]
-                a = max(0, end - size + 1 - offset - edits)
-                b = min(len(line), end - size + 1 - offset + len(wording) + edits)
-                seen = windows.setdefault(n, [])
-                if seen and a <= seen[-1][1]:
-                    seen[-1][1] = max(b, seen[-1][1])
-                    seen[-1][0] = min(a, seen[-1][0])
-                else:
-                    seen.append([a, b])
+                begins.setdefault(n, set()).add(end - size + 1 - offset)
         out = []
-        for n, parts in windows.items():
-            wording, label, _, pattern = self.templates[n]
-            for a, b in parts:
-                for m in pattern.finditer(line, a, b):
-                    out.append((m.start(), m.end(), label, sum(m.fuzzy_counts), len(wording)))
+        for n, starts in begins.items():
+            wording, label, edits, _ = self.templates[n]
+            found = set()
+            for low, high in clusters(sorted(starts), 2 * edits):
+                a = max(0, low - edits)
+                found.update((e, a + s, a + t) for s, t, e in self.search(n, line[a : max(0, high + len(wording) + edits)]))
+            taken: list[tuple[int, int]] = []
+            for e, s, t in sorted(found):
+                at = bisect(taken, (s, t))
+                if (not at or taken[at - 1][1] <= s) and (at == len(taken) or t <= taken[at][0]):
+                    taken.insert(at, (s, t))
+                    out.append((s, t, label, e, len(wording)))
         return sorted(out)
 
+    def _search(self, n: int, window: str) -> tuple[tuple[int, int, int], ...]:
+        """(start, end, edits) of the matches of template n in a short window."""
+        return tuple((m.start(), m.end(), sum(m.fuzzy_counts)) for m in self.templates[n][3].finditer(window))
+
+
+def clusters(starts: list[int], width: int) -> list[tuple[int, int]]:
+    """First and last of runs of sorted numbers that lie within ``width`` of their first."""
+    out: list[tuple[int, int]] = []
+    for s in starts:
+        if out and s <= out[-1][0] + width:
+            out[-1] = (out[-1][0], s)
+        else:
+            out.append((s, s))
+    return out
+
 
 def inspect(text: str, matcher: Matcher) -> dict:
     """Words, base places and fuzzy notices of one text.
@@ -106,10 +134,16 @@ def inspect(text: str, matcher: Matcher) -> dict:
     """
     words = normal_words(text)
     line = b" " + b" ".join(words) + b" "
-    places = [(line.count(b" ", 0, at), label) for at, label in matcher.base_places(line)]
+    # the number of a word is the number of blanks before it, less the one in front
+    blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+    places = [(int(np.searchsorted(blanks, at)), label) for at, label in matcher.base_places(line)]
     decoded = line.decode("utf-8", "surrogatepass")
-    found = matcher.fuzzy(decoded)
-    notices = [{"first_word": decoded.count(" ", 0, a + 1) - (decoded[a] != " "), "last_word": decoded.count(" ", 0, b) - 1, "label": label, "edits": e, "score": 1 - e / n} for a, b, label, e, n in found]
+    if found := matcher.fuzzy(decoded):
+        if not decoded.isascii():
+            blanks = np.flatnonzero(np.frombuffer(decoded.encode("utf-32-le", "surrogatepass"), "<u4") == 32)
+        first = np.searchsorted(blanks, [a for a, *_ in found], "right") - [decoded[a] != " " for a, *_ in found]
+        last = np.searchsorted(blanks, [b for _, b, *_ in found]) - 1
+    notices = [{"first_word": int(first[i]), "last_word": int(last[i]), "label": label, "edits": e, "score": 1 - e / n} for i, (_, _, label, e, n) in enumerate(found)]
     score = 1.0 if places else max((x["score"] for x in notices), default=0.0)
     return {"n_words": len(words), "places": sorted(places), "notices": notices, "score": score}
 
