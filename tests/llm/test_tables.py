@@ -1,10 +1,12 @@
 """Operators on small tables with every awkward case, against plain versions."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,9 +131,9 @@ def plain_classes(rows, radius):
     return Counter((d, format(x, "016x"), first[g]) for (d, _), x, g in zip(rows, f, ids, strict=True))
 
 
-@pytest.mark.parametrize("blocks", [None, 5, 7])
-def test_near_duplicates(docs, none, blocks):
-    got = simhash.near_duplicates(docs, blocks=blocks).withColumn("fp", simhash.hex_digits(F.col("fp")))
+@pytest.mark.parametrize("blocks,crowd", [(None, simhash.CROWD), (5, 1), (7, 2)])
+def test_near_duplicates(docs, none, blocks, crowd):
+    got = simhash.near_duplicates(docs, blocks=blocks, crowd=crowd).withColumn("fp", simhash.hex_digits(F.col("fp")))
     assert by_row(got, "doc_id", "fp", "component_id") == plain_classes(ROWS, simhash.RADIUS)
     assert simhash.near_duplicates(none).count() == 0
 
@@ -139,14 +141,31 @@ def test_near_duplicates(docs, none, blocks):
 def test_one_of_each_class_stays(spark, docs):
     base = [f"w{i}" for i in range(400)]
     rows = [(i, " ".join(base[:i] + ["edit"] + base[i + 1 :])) for i in range(20)] + [(100 + i, " ".join(f"d{i}x{k}" for k in range(100))) for i in range(30)]
-    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 5, similarity=0.8)
-    assert sorted(r.doc_id for r in kept.collect()) == [0, *range(100, 130)]
-    odd = simhash.keep_one(docs, 5, similarity=0.8)
+    rows += [(3, "another text under an id that is taken")] * 2
+    for limits in ({}, {"crowd": 2, "block_bytes": 9000}):  # one group, and pairs of blocks
+        kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 5, 0.8, **limits)
+        assert sorted(r.doc_id for r in kept.collect()) == [0, 3, *range(100, 130)]
+    odd = simhash.keep_one(docs, 5, 0.8)
     assert odd.columns == docs.columns
     ids = [r.doc_id for r in odd.collect()]
     assert ids.count(None) == 1 and sorted(i for i in ids if i is not None) == [1, 2, 4, 6, 8, 10, 12]
 
 
+def test_fingerprints_of_a_crowded_key_are_all_linked(spark):
+    """Many fingerprints under one key, split by pivot distances, against all pairs."""
+    from test_texts import roots
+
+    rng = random.Random(2)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    f = sorted({b ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 9))) for b in base for _ in range(12)})
+    nodes = spark.createDataFrame([(simhash.signed(x), *map(int, simhash.pivot_table(np.array([[x]], np.uint64)).view(np.int64)[0])) for x in f], "fp long, t0 long, t1 long").withColumn("p0", F.col("fp"))
+    near = [(i, j) for i in range(len(f)) for j in range(i) if (f[i] ^ f[j]).bit_count() <= 4]
+    place = {simhash.signed(x): i for i, x in enumerate(f)}
+    for crowd in (10000, 40):
+        found = [(place[r.a], place[r.b]) for r in simhash.links(nodes, F.array(F.lit(1).cast("long")), ["p0"], 4, crowd=crowd).collect()]
+        assert roots(len(f), found) == roots(len(f), near) and len(near) > 50
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (100, 100), (100, 99), (None, 5)] + [(200, 201 + i) for i in range(30)], "a long, b long")
     got = {r.node: r.root for r in components.components(edges).collect()}
@@ -206,10 +225,17 @@ def test_repeats_of_documents(spark, name, unit):
 def test_contamination(docs, none, spark):
     bench = spark.createDataFrame([(1, PASSAGE), (2, None), (3, ""), (4, "nowhere " * 40), (1, PASSAGE)], "item_id long, text string")
     got = decontamination.contaminated(docs, bench)
-    assert by_row(got.distinct(), "doc_id", "item_id", "edits") == Counter({(6, 1, 0): 1, (7, 1, 0): 1})
+    columns = ("doc_id", "item_id", "n_passages", "edits", "start_word", "end_word")
+    length = len(decontamination.normal(PASSAGE))
+    wanted = Counter({(6, 1, 1 + (length - 120) // 60, 0, 1, 61): 1, (7, 1, 1 + (length - 120) // 60, 0, 2, 62): 1})
+    assert by_row(got, *columns) == wanted
+    assert by_row(decontamination.contaminated(docs, bench, block_chars=100), *columns) == wanted
+    twice = decontamination.contaminated(docs.union(docs), bench)
+    assert by_row(twice, *columns) == Counter({k: 2 for k in wanted})
     clean = decontamination.decontaminate(docs, bench)
     assert clean.columns == docs.columns and by_row(clean, "doc_id") == Counter((d,) for d, _ in ROWS if d not in (6, 7))
     assert decontamination.contaminated(none, bench).count() == 0
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
+    assert by_row(decontamination.decontaminate(docs, bench, block_chars=100), "doc_id") == by_row(clean, "doc_id")
     blocks = list(decontamination.blocks(bench, 500))
-    assert sum(map(len, blocks)) == 4 and len(blocks) > 1
+    assert sum(map(len, blocks)) == 3 and len(blocks) > 1

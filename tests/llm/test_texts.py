@@ -4,6 +4,7 @@ import base64
 import json
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -136,6 +137,24 @@ def test_fuzzy_notices_within_the_bound_are_found():
             assert label in {f[2] for f in m.fuzzy(f" some words {''.join(s)} and more ")}
 
 
+def test_repeated_notices_take_little():
+    m = licenses.Matcher()
+    began = time.process_time()
+    x = licenses.inspect("licensed under the mit licence " * 16000, m)
+    assert time.process_time() - began < 10
+    assert [(n["first_word"], n["last_word"]) for n in x["notices"] if n["label"] == "mit"] == [(5 * i, 5 * i + 4) for i in range(16000)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["under", "the", "MIT", "license", "Apache", "version", "2", "CC", "by", "nc", "under the mit license", "é", "by-NC", "x", "CC BY NC"]), max_size=25), st.sampled_from([" ", "  ", ", ", "-", "\n"]))
+def test_base_places(parts, glue):
+    text = glue.join(parts)
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    wanted = sorted((i, label) for phrase, label in licenses.BASE.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split())
+    got = licenses.inspect(text, licenses.Matcher())
+    assert (got["n_words"], got["places"]) == (len(words), wanted)
+
+
 # -- SimHash
 
 
@@ -153,7 +172,7 @@ def plain_fingerprint(text, size=4):
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab C\n\tÄé\x1c\xa0", max_size=60))
 def test_fingerprints(text):
-    assert simhash.fingerprint(text)[0] == plain_fingerprint(text)
+    assert simhash.fingerprint(text) == plain_fingerprint(text)
 
 
 def roots(n, pairs):
@@ -185,6 +204,22 @@ def test_near_pairs_connect_what_is_near(parts, radius, n):
     assert roots(n, zip(a, b, strict=True)) == roots(n, near)
 
 
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_similar_pairs_are_those_of_the_exact_similarity():
+    rng = random.Random(31)
+    base = [rng.sample(range(1 << 40), 60) for _ in range(8)]
+    sets = [np.unique(np.array(rng.sample(b, rng.randint(48, 60)) + rng.sample(range(1 << 40), rng.randint(0, 9)), np.uint64)) for b in base for _ in range(15)] + [np.array([], np.uint64)] * 2
+    f = np.array([simhash.wide_fingerprint(simhash.mix(s)) for s in sets], np.uint64)
+    a, b = simhash.similar_pairs(sets, f, 0.8)
+    plain = [set(s.tolist()) for s in sets]
+    assert all(jaccard(plain[i], plain[j]) >= 0.8 for i, j in zip(a, b, strict=True))
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if jaccard(plain[i], plain[j]) >= 0.8]
+    assert len(near) > 100 and roots(len(sets), zip(a, b, strict=True)) == roots(len(sets), near)
+
+
 @pytest.mark.parametrize("blocks", [5, 6, 7])
 def test_block_keys_miss_nothing(blocks):
     masks, rng = simhash.block_masks(blocks, 4), random.Random(blocks)
@@ -238,18 +273,19 @@ def test_equal_windows_share_an_anchor():
 # -- decontamination
 
 
-def test_alignment_is_the_edit_distance():
-    rng = random.Random(5)
+def edit_distance(p, t):
+    """The fewest edits between p and any stretch of t."""
+    row = [0] * (len(t) + 1)
+    for i, c in enumerate(p):
+        new = [i + 1]
+        for j, d in enumerate(t):
+            new.append(min(row[j] + (c != d), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
 
-    def best(p, t):
-        row = [0] * (len(t) + 1)
-        for i, c in enumerate(p):
-            new = [i + 1]
-            for j, d in enumerate(t):
-                new.append(min(row[j] + (c != d), row[j + 1] + 1, new[j] + 1))
-            row = new
-        return min(row)
 
+def test_alignment_is_the_edit_distance():
+    rng = random.Random(5)
     for _ in range(60):
         p = bytes(rng.choice(b"abcd") for _ in range(30))
         s = bytearray(p)
@@ -257,10 +293,61 @@ def test_alignment_is_the_edit_distance():
             i = rng.randrange(len(s))
             s[i : i + rng.randint(0, 1)] = rng.choice([b"", b"x", b"yy"])
         t = bytes(rng.choice(b"efgh") for _ in range(20)) + bytes(s) + b"efgh" * 3
-        got, d = decontamination.align(p, t, 16, 8, 5), best(p, t)
-        assert (got is None) == (d > 5) or got is None and d > 3
-        if got:
-            assert got[2] == d and best(p, t[got[0] : got[1]]) == d
+        begin, end, edits = (int(x[0]) for x in decontamination.align_all(p, np.zeros(1, np.int64), 30, t, 16, 8, 5))
+        d = edit_distance(p, t)
+        assert edits == d or edits > 3 and d > 3
+        if edits <= 5:
+            assert edit_distance(p, t[begin:end]) == edits
+
+
+def plain_search(items, line, rule):
+    """(item, fewest edits, found starts) by the edit distance of every passage."""
+    out = {}
+    for key, text in items:
+        item = decontamination.normal(text or "")
+        m = min(len(item), rule.length)
+        if m:
+            d = {s: edit_distance(item[s : s + m], line) for s in range(len(item) - m + 1)}
+            good = {s: x for s, x in d.items() if x <= rule.edits(m)}
+            if len(item) < rule.q and not re.search(rb"(?<![^ ])" + re.escape(item) + rb"(?![^ ])", line):
+                good = {}
+            if good:
+                out[key] = min(good.values()), sorted(good)
+    return out
+
+
+@pytest.mark.parametrize("rule", [decontamination.Rule(24, 6, 0.09, 6), decontamination.Rule(40, 10, 0.05, 12)])
+def test_search_is_that_of_all_passages(rule, monkeypatch):
+    rng = random.Random(21)
+    monkeypatch.setattr(decontamination, "SLICE", 50)
+    monkeypatch.setattr(decontamination, "PAIRS", 300)
+    draw = lambda n, letters="abcd ": "".join(rng.choice(letters) for _ in range(n))
+    for turn in range(60):
+        items = [(i, draw(rng.choice([3, 5, 11, 21, 30, 60, 80]), rng.choice(["abcd ", "ab", "abcdefghij "]))) for i in range(5)] + [(9, "no " * 30), (10, ""), (11, None)]
+        index = decontamination.Index(items, rule)
+        text = draw(20)
+        for _ in range(4):
+            part = list(rng.choice(items)[1] or "x")
+            part = part[rng.randint(0, len(part) // 3) :]
+            for _ in range(rng.choice([0, 0, 1, 2, 4])):
+                i = rng.randrange(len(part))
+                part[i : i + rng.randint(0, 1)] = [rng.choice(["", "z", "b"])]
+                part = part or ["x"]
+            text += " " + "".join(part) + draw(rng.randint(0, 30))
+        line = decontamination.normal(text)
+        got = {h[0]: (h[3], h[4]) for h in index.find(line)}
+        wanted = {}
+        for key, (edits, starts) in plain_search(items, line, rule).items():
+            runs = np.split(np.array(starts), np.flatnonzero(np.diff(starts) > 1) + 1)
+            wanted[key] = edits, sum(1 + (len(r) - 1) // rule.step for r in runs)
+        assert got == wanted
+
+
+def test_repetitive_texts_take_little():
+    index = decontamination.Index([(1, "no " * 400), (2, "so it goes " * 90)], decontamination.Rule())
+    began = time.process_time()
+    found = index.find(decontamination.normal("no " * 60000))
+    assert found == [(1, 0, 179999, 0, 1 + (1199 - 120) // 60)] and time.process_time() - began < 20
 
 
 def test_edited_passages_are_found_and_others_not():
@@ -306,9 +393,9 @@ def test_alignments_together_are_those_alone():
             s[i : i + rng.randint(0, 1)] = rng.choice([b"", b"x", b"yy"])
         line, starts = bytes(rng.choice(b"efgh") for _ in range(rng.randint(0, 9))) + bytes(s), np.arange(31)
         got = decontamination.align_all(item, starts, 30, line, 0, 8, 5)
-        for a, edits in zip(starts.tolist(), got[2].tolist(), strict=True):
-            alone = decontamination.align(item[a : a + 30], line, a, 8, 5)
-            assert (alone[2] if alone else 6) == min(edits, 6)
+        for a in starts.tolist():
+            alone = decontamination.align_all(item, np.array([a]), 30, line, 0, 8, 5)
+            assert min(int(alone[2][0]), 6) == min(int(got[2][a]), 6)
 
 
 # -- toxicity and quality
