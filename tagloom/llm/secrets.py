@@ -12,6 +12,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -29,14 +30,18 @@ ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
-#: Line breaks of a body may be written as escapes, as in JSON, where slashes may be escaped too.
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\+[nr/])+)-----END \1-----")
+#: Line breaks of a body may be written as escapes, as in JSON, where slashes may be escaped too.  Lines of headers may come first.
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----(?:\s|\\+[nr])*((?:[A-Za-z][A-Za-z0-9-]{0,40}: [^\r\n\\]{0,200}(?:[\r\n]|\\+[nr])+)*)((?:[A-Za-z0-9+/=\s]|\\+[nr/])+)-----END \1-----")
+ENCRYPTED = re.compile(r"Proc-Type: 4,ENCRYPTED[\s\S]*DEK-Info: [A-Z0-9-]+,[0-9A-Fa-f]{16,64}(?![0-9A-Fa-f])")
 PEM_BREAKS = re.compile(r"\s+|\\+[nr]|\\+(?=/)")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
 #: DER starts with 0x30 0x8x or 0x30 and a short length; both give "M" as the first letter in base64.
 #: It may follow "=" or "-", so a run has further starts at its hyphens.
 BLOB = re.compile(r"(?<![A-Za-z0-9+/_])M[A-P][A-Za-z0-9+/_-]{40,}={0,2}")
 BLOB_STARTS = re.compile(r"(?<=-)M[A-P]")
+#: A key may be broken into lines without a frame around it.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_])M[A-P][A-Za-z0-9+/]{30,}(?:\r?\n[ \t]*[A-Za-z0-9+/]+)+={0,2}")
+WRAPPED_STARTS = re.compile(r"(?:^|(?<=\n)[ \t]*)(?=M[A-P])")
 HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{80,}(?![0-9A-Fa-f])")
 SSH = re.compile(r"(?<![A-Za-z0-9+/])(?:AAAA[A-Za-z0-9+/]{40,}|b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/]{40,})={0,2}")
 #: Name prefixes of public key blobs and the magic of private ones.
@@ -56,7 +61,8 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     out: list[tuple[int, int, str]] = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            if is_key(decode64(PEM_BREAKS.sub("", m[2]))):
+            body = decode64(PEM_BREAKS.sub("", m[3]))
+            if is_key(body) or (ENCRYPTED.match(m[2]) and body and len(body) % 8 == 0):
                 out.append((m.start(), m.end(), "pem_key"))
     for kind, pattern, holds in (("signed_token", TOKEN, is_signed_token), ("der_key", HEX_DER, lambda s: len(s) % 2 == 0 and is_der_key(bytes.fromhex(s))), ("ssh_key", SSH, lambda s: is_ssh(decode64(s)))):
         for m in pattern.finditer(text):
@@ -65,9 +71,47 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     for m in BLOB.finditer(text):
         if not any(a <= m.start() < b for a, b, k in out if k == "pem_key") and (a := der_start(m[0])) is not None:
             out.append((m.start() + a, m.end(), "der_key"))
+    for m in WRAPPED.finditer(text) if "\n" in text else ():
+        for a, b in wrapped_keys(m[0]):
+            if not any(s <= m.start() + a < e for s, e, k in out if k == "pem_key"):
+                out.append((m.start() + a, m.start() + b, "der_key"))
     return out
 
 
+def wrapped_keys(run: str) -> list[tuple[int, int]]:
+    """Starts and ends of keys that begin a line of base64 text and go on for more than one; their header tells where they end."""
+    out: list[tuple[int, int]] = []
+    places = [i for i, c in enumerate(run) if c > " "]
+    body = "".join(run[i] for i in places)
+    for m in WRAPPED_STARTS.finditer(run):
+        a = bisect_left(places, m.end())
+        if out and m.end() < out[-1][1]:
+            continue
+        n = der_chars(body[a : a + 8])
+        if n is None or a + n > len(body) or "\n" not in run[places[a] : places[a + n - 1]]:
+            continue
+        last = a + n
+        while last < len(body) and body[last] == "=" and last < a + n + 2:
+            last += 1
+        # another line of base64 may follow, but the key's last line ends with it
+        if last < len(body) and places[last] == places[last - 1] + 1:
+            continue
+        if is_der_key(decode64(body[a : a + n])):
+            out.append((places[a], places[last - 1] + 1))
+    return out
+
+
+def der_chars(head: str) -> int | None:
+    """Base64 characters, padding left out, of the DER value that begins with ``head``; None if none does."""
+    data = decode64(head)
+    if len(data) < 6:
+        return None
+    width = data[1] & 0x7F if data[1] & 0x80 else 0
+    if width > 4:
+        return None
+    return -(-(2 + width + (int.from_bytes(data[2 : 2 + width]) if width else data[1])) * 4 // 3)
+
+
 def spans(text: str) -> list[tuple[int, int, str]]:
     """Base and confirmed spans by start, then kind, then end."""
     return sorted(base_spans(text) + confirmed_spans(text), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
@@ -119,13 +163,15 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
 
 
 def is_der_key(data: bytes) -> bool:
-    """PKCS#1, SEC1, PKCS#8 (plain or encrypted) or SubjectPublicKeyInfo, by tags and nested lengths."""
+    """PKCS#1, DSA, SEC1, PKCS#8 (plain or encrypted) or SubjectPublicKeyInfo, by tags and nested lengths."""
     top = der_items(data)
     if not top or len(top) != 1 or top[0][0] != 0x30 or not (items := der_items(top[0][1])):
         return False
     tags = [t for t, _ in items]
     if tags[:3] == [0x02, 0x30, 0x04]:  # PKCS#8: version, algorithm, key octets
         return has_oid(items[1][1])
+    if tags == [0x02] * 6:  # DSA: version, p, q, g and the two keys
+        return len(items[1][1]) >= 64 and 20 <= len(items[2][1]) <= 33
     if tags[:2] == [0x02, 0x04] and len(items[0][1]) == 1:  # SEC1: version 1, private value
         return items[0][1] == b"\x01" and 20 <= len(items[1][1]) <= 66
     if len(tags) >= 9 and set(tags[:9]) == {0x02}:  # PKCS#1: version and eight integers
@@ -199,7 +245,10 @@ DIGEST_DDL = "n_assign long, n_access long, n_hex long, base_sha256 string, span
 
 
 def mask_secrets(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every reported span of the text replaced by ``mark``; overlapping spans become one."""
+    """``docs`` with every reported span of the text replaced by ``mark``; overlapping spans become one.
+
+    All rows and columns stay; null and empty texts stay as they are, repeated rows are masked alike.
+    """
     names = docs.columns
     schema = docs.schema
 
