@@ -2,6 +2,9 @@
 
 P(grade <= g) = s(threshold_g - w.x) with one weight vector for all thresholds, which rise with the grade.  Features
 are 1 + log of the counts of words and word beginnings whose rate differs between toxic and other labelled texts.
+
+Labels say only whether a text is toxic.  Grades of the toxic ones are made here, from how many marking words they
+hold (GRADE_EDGES), so the grades above 0 rank texts by what the model sees and are no judgement of their own.
 """
 
 from __future__ import annotations
@@ -21,9 +24,7 @@ from tagloom.llm.licenses import normal_words
 
 #: Most labelled rows of each label that a model is fitted on: those with the smallest hash of their id.
 MAX_LABELLED = 4000
-#: Most words and beginnings that become features, those with the clearest difference first.
-MAX_FEATURES = 4096
-#: Least z-score of the difference between the two document rates of a word.
+#: Least z-score of the difference between the two document rates of a word; all that reach it become features.
 MIN_Z = 5.0
 #: Bytes of the word beginnings that are features beside whole words; they catch stems with unseen endings.
 BEGINNINGS = (4, 5, 6)
@@ -89,7 +90,8 @@ def sample_labels(labels: DataFrame, limit: int = MAX_LABELLED, label: str = "to
 
 def labelled_features(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
     """toxic, features and counts of the sampled rows, kept in the shared folder; at most 2 * ``limit`` ids."""
-    joined = only(docs, "doc_id", "text").join(F.broadcast(sample_labels(labels, limit)), "doc_id").select("toxic", "text")
+    joined = only(docs, "doc_id", "text").join(F.broadcast(sample_labels(labels, limit)), "doc_id")
+    joined = joined.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text")).select("toxic", "text")  # repeated ids are one row
 
     def rows(batch: pa.RecordBatch) -> list:
         counts = [features(t) for t in texts(batch)]
@@ -98,8 +100,8 @@ def labelled_features(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABEL
     return materialize(scan(joined, rows, "toxic int, features array<binary>, counts array<int>"))
 
 
-def marks(sample: DataFrame, min_z: float = MIN_Z, limit: int = MAX_FEATURES) -> dict[bytes, float]:
-    """z-scores of the features whose share of toxic and other texts differs clearly; at most ``limit`` of them."""
+def marks(sample: DataFrame, min_z: float = MIN_Z) -> dict[bytes, float]:
+    """z-scores of all features whose share of toxic and other texts differs clearly; the sample bounds their number."""
     n = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return {}
@@ -107,8 +109,8 @@ def marks(sample: DataFrame, min_z: float = MIN_Z, limit: int = MAX_FEATURES) ->
     share = F.col("n") / (n[0] + n[1])
     spread = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / n[1] + 1 / n[0]))
     z = (F.col("a") / n[1] - (F.col("n") - F.col("a")) / n[0]) / spread
-    chosen = seen.where("n >= 5").select("f", z.alias("z")).where(F.abs("z") >= min_z).orderBy(F.abs("z").desc(), "f").limit(limit)
-    return {bytes(r[0]): r[1] for r in chosen.collect()}
+    chosen = seen.where("n >= 5").select("f", z.alias("z")).where(F.abs("z") >= min_z)
+    return dict(sorted((bytes(r[0]), r[1]) for r in chosen.collect()))
 
 
 def marked_rows(sample: DataFrame, known: dict[bytes, float]) -> list[tuple[int, dict[bytes, int]]]:
@@ -176,17 +178,23 @@ SCORE_DDL = "severity double, grade int, p_toxic double, toxic boolean"
 
 
 def rate(model: OrdinalModel, text: str, threshold: float = THRESHOLD) -> tuple[float, int, float, bool]:
-    """Expected severity, likeliest grade, probability of any grade above 0, and whether that reaches ``threshold``."""
+    """Expected severity, grade, probability of any grade above 0, and whether that reaches ``threshold``.
+
+    The grade is the likeliest one above 0 where it does, else 0.
+    """
     p = model.grades(model.score(text))
     toxic = 1 - p[0]
-    return sum(g * x for g, x in enumerate(p)), max(range(len(p)), key=p.__getitem__), toxic, toxic >= threshold
+    return sum(g * x for g, x in enumerate(p)), max(range(1, len(p)), key=p.__getitem__) if toxic >= threshold and len(p) > 1 else 0, toxic, toxic >= threshold
 
 
 def score_toxicity(docs: DataFrame, model: OrdinalModel, threshold: float = THRESHOLD, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, severity (expected grade), grade, p_toxic and toxic of every row.
 
     Null and empty texts score as texts without any feature; repeated rows stay repeated; other columns are left out.
+    Columns to keep must not have the names of the new ones.
     """
+    if clash := set(keep) & set(T.StructType.fromDDL(SCORE_DDL).names):
+        raise ValueError(f"columns of the input have names of results: {sorted(clash)}")
     schema = T.StructType([*docs.select(*keep).schema.fields, *T.StructType.fromDDL(SCORE_DDL).fields])
 
     def rows(batch: pa.RecordBatch) -> list:
@@ -197,7 +205,11 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, threshold: float = THRE
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """``docs`` without the rows that the model calls toxic; the others keep all columns."""
+    """``docs`` without the rows that the model calls toxic; the others keep all columns.
+
+    Null and empty texts stay unless the model calls every text toxic, repeated rows are judged alike, and an empty
+    table stays empty.
+    """
     names = docs.columns
 
     def rows(batch: pa.RecordBatch) -> list | None:
