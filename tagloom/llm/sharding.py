@@ -1,20 +1,22 @@
 """Balanced label propagation over documents.
 
 Documents that are linked (equal texts, and any links between texts that the caller gives) move towards the shard
-where most of their neighbours are, as far as that shard's quota has room; documents without links fill what is left,
-so that sizes end exactly even.  State is a count for each text and shard: copies are never listed by group, and
+where most of their neighbours are, as far as that shard's quota has room or rows change places with others that
+want to leave it; documents without links fill what is left, so that sizes end exactly even.  Rounds go on until nothing
+moves.  State is a count for each text and shard: copies are never listed by group, and
 ranks and running sums are taken in buckets, so neither a common text nor a shard meets in one task.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import discard, materialize
 
 SHARDS = 24
-ROUNDS = 8
 #: Rows for each bucket of ranks, and fewest buckets.
 BUCKET_ROWS = 20_000
 LEAST_BUCKETS = 1024
@@ -57,15 +59,18 @@ def spread(loose: DataFrame, room: list[int], buckets: int) -> DataFrame:
     return ranked.select("g", "before", "c", F.explode(ranges).alias("r")).select("g", F.col("r.shard").alias("shard"), cut.alias("c")).where("c > 0")
 
 
-def propagate(groups: DataFrame, total: int, shards: int = SHARDS, rounds: int = ROUNDS, links: DataFrame | None = None, buckets: int = LEAST_BUCKETS) -> DataFrame:
+def propagate(groups: DataFrame, total: int, shards: int = SHARDS, links: DataFrame | None = None, buckets: int = LEAST_BUCKETS) -> DataFrame:
     """(g, shard, c): how many of the n rows of each group of ``groups`` (g, n) a shard gets, within quotas of ``total``.
 
     ``links`` (a, b, w) join groups with a weight; without any, rows pull only those of their own group.
     """
     quota = quotas(total, shards)
-    # A group begins in parts: an even share everywhere, and the rest from a shard chosen by hash on.
-    first = F.pmod(F.xxhash64("g"), F.lit(shards)).cast("int")
-    parts = F.expr(f"transform(sequence(0, {shards - 1}), j -> struct(cast(pmod(_f + j, {shards}) as int) as shard, cast(n div {shards} + if(j < n % {shards}, 1, 0) as long) as c))")
+    # A group begins in as few shards as hold it with a quarter of each left, from one chosen by hash on; one too large for that, evenly.
+    first, piece = F.pmod(F.xxhash64("g"), F.lit(shards)).cast("int"), max(1, quota[-1] * 3 // 4)
+    place = f"cast(pmod(_f + j, {shards}) as int) as shard"
+    few = F.expr(f"transform(sequence(0L, (n - 1) div {piece}), j -> struct({place}, cast(least({piece}, n - j * {piece}) as long) as c))")
+    even = F.expr(f"transform(sequence(0L, {shards - 1}L), j -> struct({place}, cast(n div {shards} + if(j < n % {shards}, 1, 0) as long) as c))")
+    parts = F.when(F.col("n") <= piece * shards, few).otherwise(even)
     wanted = groups.withColumn("_f", first).select("g", F.explode(F.filter(parts, lambda x: x["c"] > 0)).alias("x")).select("g", "x.shard", "x.c")
     limit = _literals(quota, "shard")
     ranked = before(wanted, "shard", F.pmod(F.xxhash64("g"), F.lit(buckets)), ["g"], "c")
@@ -75,24 +80,83 @@ def propagate(groups: DataFrame, total: int, shards: int = SHARDS, rounds: int =
     settled = placed.where("in > 0").select("g", "shard", F.col("in").alias("c")).unionByName(spread(loose, room, buckets))
     state = materialize(settled.groupBy("g", "shard").agg(F.sum("c").alias("c")))
     discard(placed)
-    for turn in range(rounds):
+    best, swap, idle = agreement(state, links), False, 0
+    for turn in count():
         room = [q - t for q, t in zip(quota, taken(state, shards), strict=True)]
-        moves = materialize(admitted(state, room, links, buckets, turn))
-        if not moves.limit(1).count():
-            discard(moves)
-            if links is None:
-                break
-            continue
-        change = moves.select("g", F.col("source").alias("shard"), (-F.col("m")).alias("c")).unionByName(moves.select("g", F.col("target").alias("shard"), F.col("m").alias("c")))
-        after = materialize(state.unionByName(change).groupBy("g", "shard").agg(F.sum("c").alias("c")).where("c > 0"))
+        moves = materialize(admitted(state, room, links, buckets, turn, swap))
+        if moves.limit(1).count():
+            change = moves.select("g", F.col("source").alias("shard"), (-F.col("m")).alias("c")).unionByName(moves.select("g", F.col("target").alias("shard"), F.col("m").alias("c")))
+            after = materialize(state.unionByName(change).groupBy("g", "shard").agg(F.sum("c").alias("c")).where("c > 0"))
+            now = agreement(after, links)
+            if now > best:
+                discard(moves)
+                discard(state)
+                state, best, swap, idle = after, now, False, 0
+                continue
+            discard(after)  # linked groups that only change places
         discard(moves)
-        discard(state)
-        state = after
-    return state
+        swap, idle = not swap, idle + 1
+        if idle == (2 if links is None else 4):  # with links, half of the groups may move at a time
+            return state
 
 
-def admitted(state: DataFrame, room: list[int], links: DataFrame | None, buckets: int, turn: int = 0) -> DataFrame:
-    """(g, source, target, m): moves of m rows to the shard with room where the most neighbours are, larger gains first."""
+def agreement(state: DataFrame, links: DataFrame | None) -> float:
+    """Weight of the links, and pairs of rows of one group, that lie within a shard; what moves are to increase."""
+    within = state.agg(F.coalesce(F.sum(F.col("c").cast("double") * (F.col("c") - 1)), F.lit(0.0))).first()[0] / 2
+    if links is not None:
+        ends = links.join(state.select(F.col("g").alias("a"), "shard", F.col("c").alias("ca")), "a").join(state.select(F.col("g").alias("b"), "shard", F.col("c").alias("cb")), ["b", "shard"])
+        within += ends.agg(F.coalesce(F.sum(F.col("w") * F.col("ca") * F.col("cb")), F.lit(0.0))).first()[0]
+    return within
+
+
+def allowance(flows: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
+    """How many rows may go from shard to shard of those that want to, so that no shard takes more than its room and what leaves it."""
+    left, room, out = {k: n for k, n in flows.items() if n > 0}, list(room), {k: 0 for k in flows}
+
+    def grant(edges: list[tuple[int, int]], n: int) -> None:
+        for e in edges:
+            out[e] += n
+            left[e] -= n
+            if not left[e]:
+                del left[e]
+
+    while ready := next((e for e in left if room[e[1]] > 0), None):  # into free room, which frees room elsewhere
+        n = min(room[ready[1]], left[ready])
+        room[ready[1]] -= n
+        room[ready[0]] += n
+        grant([ready], n)
+    while ring := _ring(left):
+        grant(ring, min(left[e] for e in ring))
+    return out
+
+
+def _ring(edges: dict[tuple[int, int], int]) -> list[tuple[int, int]] | None:
+    """Edges of a way that comes back to where it begins."""
+    after: dict[int, list[int]] = {}
+    for a, b in sorted(edges):
+        after.setdefault(a, []).append(b)
+    dead: set[int] = set()
+    for start in after:
+        way = [start]
+        while way:
+            onward = next((b for b in after.get(way[-1], ()) if b not in dead), None)
+            if onward is None:
+                dead.add(way.pop())
+            elif onward in way:
+                way = [*way[way.index(onward) :], onward]
+                return list(zip(way, way[1:], strict=False))
+            else:
+                way.append(onward)
+    return None
+
+
+def admitted(state: DataFrame, room: list[int], links: DataFrame | None, buckets: int, turn: int = 0, swap: bool = False) -> DataFrame:
+    """(g, source, target, m): moves of m rows to the shard where the most neighbours are, larger gains first.
+
+    Rows go to the best shard that has room, or with ``swap`` to the best of all, where they change places with rows
+    that want to go the other way or round a ring of shards; how many want to go from each shard to each other comes
+    to the driver.
+    """
     votes = state.select("g", "shard", F.col("c").cast("double").alias("v"))
     if links is not None:
         both = links.select(F.col("a").alias("g"), F.col("b").alias("h"), "w").unionByName(links.select(F.col("b").alias("g"), F.col("a").alias("h"), "w"))
@@ -100,16 +164,20 @@ def admitted(state: DataFrame, room: list[int], links: DataFrame | None, buckets
         votes = votes.unionByName(theirs).groupBy("g", "shard").agg(F.sum("v").alias("v"))
     # ties go by a hash of group and shard, so that groups don't all lean to one shard and nothing moves to and fro
     votes = votes.withColumn("k", F.xxhash64("g", "shard"))
-    best = votes.where(_literals(room, "shard") > 0).groupBy("g").agg(F.max(F.struct("v", "k", "shard")).alias("x")).select("g", F.col("x.shard").alias("target"), F.col("x.v").alias("top"), F.col("x.k").alias("tk"))
+    best = (votes if swap else votes.where(_literals(room, "shard") > 0)).groupBy("g").agg(F.max(F.struct("v", "k", "shard")).alias("x")).select("g", F.col("x.shard").alias("target"), F.col("x.v").alias("top"), F.col("x.k").alias("tk"))
     held = state.join(votes, ["g", "shard"]).join(best, "g")
     if links is None:
         held = held.where("target <> shard and (v < top or v = top and k < tk)")
     else:  # a row is no neighbour of its own; half of the groups move at a time, lest linked ones change places
         held = held.where("target <> shard and v - 1 < top").where(F.pmod(F.xxhash64("g", F.lit(turn)), F.lit(2)) == 0)
     level = F.least(F.lit(LEVELS - 1), F.floor(F.log2(F.col("top") - F.col("v") + 1))).cast("long")
+    shards = len(room)
+    held = materialize(held.withColumn("pair", F.col("shard") * shards + F.col("target")))
+    wish = {divmod(r[0], shards): r[1] for r in held.groupBy("pair").agg(F.sum("c")).collect()}
+    allowed = allowance(wish, room)
     place = (F.lit(LEVELS - 1) - level) * buckets + F.pmod(F.xxhash64("g"), F.lit(buckets))
-    ranked = before(held.select("g", "shard", "target", "c", "v", "top"), "target", place, ["g", "shard"], "c")
-    m = F.greatest(F.lit(0), F.least("c", _literals(room, "target") - F.col("before"))).cast("long")
+    ranked = before(held.select("g", "shard", "target", "pair", "c", "v", "top"), "pair", place, ["g", "shard"], "c")
+    m = F.greatest(F.lit(0), F.least("c", _literals([allowed.get(divmod(p, shards), 0) for p in range(shards * shards)], "pair") - F.col("before"))).cast("long")
     return ranked.select("g", F.col("shard").alias("source"), "target", m.alias("m")).where("m > 0")
 
 
@@ -117,7 +185,7 @@ def _literals(values: list[int], index: str) -> Column:
     return F.element_at(F.array(*(F.lit(int(v)).cast("long") for v in values)), F.col(index) + 1)
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, links: DataFrame | None = None, text: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, links: DataFrame | None = None, text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (null) of every row, under the law of even row counts.
 
     Size is the number of UTF-8 bytes plus 8; slots of a shard run from 0 without gaps.  ``links`` may join texts by
@@ -134,7 +202,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, links: Da
         ends = links.select(F.col("a").alias("g")).unionByName(links.select(F.col("b").alias("g"))).distinct()
         tied = tied.unionByName(counted.where("n = 1").join(ends, "g", "left_semi"))
     tied = materialize(tied)
-    state = propagate(tied, total, shards, rounds, links, buckets)
+    state = propagate(tied, total, shards, links, buckets)
     left = [q - t for q, t in zip(quotas(total, shards), taken(state, shards), strict=True)]
     fill = rows.sparkSession.range(1).select(F.lit("").alias("g"), F.explode(F.array(*(F.struct(F.lit(j).alias("shard"), F.lit(n).cast("long").alias("c")) for j, n in enumerate(left)))).alias("x")).select("g", "x.shard", "x.c").where("c > 0")
     state = materialize(before(state.unionByName(fill), "shard", F.pmod(F.xxhash64("g"), F.lit(buckets)), ["g"], "c", "base"))
