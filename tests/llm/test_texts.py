@@ -14,7 +14,7 @@ import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tagloom.llm import bpe, decontamination, licenses, quality, secrets, simhash, toxicity
+from tagloom.llm import bpe, decontamination, licenses, quality, secrets, sharding, simhash, toxicity
 from tagloom.llm.bwt import repeated_starts
 from tagloom.llm.fmindex import word_repeats
 from tagloom.llm.windows import MAX_WINDOWS, segment_runs
@@ -114,6 +114,30 @@ def test_keys_after_signs_and_with_written_breaks():
                 assert secrets.confirmed_spans(f'{{"k": "{pem}"}}') == [(7, 7 + len(pem), "pem_key")], brk
 
 
+def test_further_forms_of_keys():
+    rng = random.Random(9)
+    number = lambda n: der(2, b"\x01" + rng.randbytes(n))
+    rsa = der(0x30, der(2, b"\0"), number(128), der(2, b"\1\0\1"), *(number(64) for _ in range(6)))
+    dsa = der(0x30, der(2, b"\0"), number(128), number(20), number(127), number(127), number(19))
+    wrap = lambda s, n, brk: brk.join(s[i : i + n] for i in range(0, len(s), n))
+    for key in (rsa, dsa):
+        s = base64.b64encode(key).decode()
+        assert (4, 4 + len(s), "der_key") in secrets.spans(f"key {s} end")
+        for n, brk in ((64, "\n"), (76, "\r\n"), (64, "\n    ")):
+            w = wrap(s, n, brk)
+            for before, after in (("", ""), ("key:\n", "\nand more words"), ("  ", "\n"), ("a ", f"{brk}QUJD")):
+                assert (len(before), len(before) + len(w), "der_key") in secrets.spans(before + w + after), (n, before, after)
+            assert not secrets.confirmed_spans(wrap(s[:70] + "A" + s[70:], n, brk)) and not secrets.confirmed_spans(w[:-9])
+    body = wrap(base64.b64encode(rng.randbytes(640)).decode(), 64, "\n")
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+    for middle, found in ((head + body, True), (body, False), ("Comment: x\n\n" + wrap(base64.b64encode(rsa).decode(), 64, "\n"), True), (head + body[:-9], False)):
+        pem = f"-----BEGIN RSA PRIVATE KEY-----\n{middle}\n-----END RSA PRIVATE KEY-----"
+        assert ((2, 2 + len(pem), "pem_key") in secrets.spans(f"k {pem}")) == found
+    began = time.process_time()
+    secrets.spans("MIIB" + ("A" * 60 + "\nMIIB") * 5000)
+    assert time.process_time() - began < 10
+
+
 # -- licenses
 
 
@@ -419,6 +443,35 @@ def test_ordinal_model_ranks_held_out_texts():
     assert toxicity.rate(toxicity.fit([(0, {})], {}), "vile") == (0, 0, 0, False)
 
 
+def test_scores_are_those_of_the_formula():
+    rng = random.Random(3)
+    words = [f"word{i}".encode() for i in range(40)]
+    weights = {w: rng.uniform(-1, 1) for w in words[:20]} | {b"word*": 0.1, b"word1*": -0.3}
+    model = toxicity.OrdinalModel(weights, (0.5, 1.0, 2.5))
+    for _ in range(50):
+        text = " ".join(w.decode() for w in rng.choices(words, k=rng.randint(0, 30)))
+        score = sum(weights[f] * (1 + np.log(n)) for f, n in toxicity.features(text).items() if f in weights)
+        below = [1 / (1 + np.exp(-(t - score))) for t in model.thresholds]
+        p = np.diff([0, *below, 1])
+        severity, grade, p_toxic, toxic = toxicity.rate(model, text)
+        assert abs(severity - p @ np.arange(4)) < 1e-9 and abs(p_toxic - (1 - p[0])) < 1e-9
+        assert toxic == (p_toxic >= toxicity.THRESHOLD) == (grade > 0) and grade == (1 + int(np.argmax(p[1:])) if toxic else 0)
+
+
+def test_moves_keep_to_room_and_exchange():
+    rng = random.Random(5)
+    for _ in range(200):
+        n = rng.randint(2, 6)
+        flows = {(a, b): rng.randint(1, 9) for a in range(n) for b in range(n) if a != b and rng.random() < 0.5}
+        room = [rng.choice([0, 0, 3]) for _ in range(n)]
+        got = sharding.allowance(flows, room)
+        assert all(0 <= got[e] <= flows[e] for e in flows)
+        for s in range(n):
+            assert sum(m for (_, b), m in got.items() if b == s) <= room[s] + sum(m for (a, _), m in got.items() if a == s)
+        assert not any(got[a, b] < flows[a, b] and got.get((b, a), 0) < flows.get((b, a), 0) for a, b in flows)
+    assert sharding.allowance({(0, 1): 5, (1, 2): 4, (2, 0): 7}, [0, 0, 0]) == {(0, 1): 4, (1, 2): 4, (2, 0): 4}
+
+
 def test_estimate_recovers_rules():
     rng = random.Random(9)
     patterns: Counter = Counter()
