@@ -26,19 +26,21 @@ from tagloom.llm.common import discard, materialize, only, scan
 from tagloom.llm.fmindex import word_repeats
 from tagloom.llm.windows import BYTE_HASH, MAX_SYMBOLS, mix, segment_runs
 
-#: Bytes of text that one index is built over; an anchor's segments stay together.
-INDEX_BYTES = 3 << 19
 #: Anchors with more contents than this are dealt by finer anchors, up to so many times.
 MANY, LEVELS = 8192, 4
 
 
 @dataclass(frozen=True)
 class Unit:
-    """What a window is made of: ``window`` symbols, anchored on ``gram`` of them; ``words`` or bytes."""
+    """What a window is made of: ``window`` symbols, anchored on ``gram`` of them; ``words`` or bytes.
+
+    One index is built over about ``index_bytes`` of text; an anchor's segments stay together.
+    """
 
     words: bool
     window: int
     gram: int
+    index_bytes: int = 3 << 19
 
     def line(self, text: bytes) -> bytes:
         """The text in the form that offsets refer to: words joined by one blank, or the bytes themselves."""
@@ -208,7 +210,7 @@ def indexed(bodies: DataFrame, unit: Unit) -> DataFrame:
         group, size = [], 0
         for batch in batches:
             for a, d, n, body in zip(*(batch.column(c).to_pylist() for c in ("anchor", "dg", "n", "body")), strict=True):
-                if group and size > INDEX_BYTES and a != group[-1][0]:
+                if group and size > unit.index_bytes and a != group[-1][0]:
                     yield from settle(group)
                     group, size = [], 0
                 if not group or (a, d) != group[-1][:2]:
@@ -308,4 +310,4 @@ def kept(line: bytes, begins: np.ndarray | None, n: int, spans: list[tuple[int,
 
 #: Production units: 35 words and 200 bytes.
 WORDS = Unit(True, 35, 8)
-BYTES = Unit(False, 200, 32)
+BYTES = Unit(False, 200, 32, 1 << 18)
