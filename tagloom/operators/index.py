@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagloom.sources.workspace import fresh_path, settle
+from tagloom.sources.workspace import delete, discard, exists, fresh_path, rename, settle
 
 #: Shards of the index, the largest tf, postings read of a term, and parts of the idf formula.
 SHARDS = 100
@@ -72,41 +73,71 @@ def capped(posts: DataFrame, cap: int = READ_CAP) -> DataFrame:
 
 
 def save(index: Index, path: str) -> None:
-    """Write the index: postings in ``SHARDS`` folders by term."""
-    sharded = index.postings.withColumn("shard", F.pmod(F.xxhash64("term"), F.lit(SHARDS)).cast("int"))
-    sharded.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
-    index.docs.write.mode("overwrite").parquet(f"{path}/docs")
-    index.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    """Write the index as the only batch of a new one: postings in ``SHARDS`` folders by term."""
+    drop_index(index.postings.sparkSession, path)
+    _write(index.postings, index.docs, index.terms.select("term", "df"), path, "0")
+    index.terms.write.parquet(f"{path}/terms")
+
+
+def _write(posts: DataFrame, docs: DataFrame, df: DataFrame, path: str, batch: str) -> None:
+    sharded = posts.withColumn("shard", F.pmod(F.xxhash64("term"), F.lit(SHARDS)).cast("int"))
+    sharded.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings/batch={batch}")
+    docs.write.mode("overwrite").parquet(f"{path}/docs/batch={batch}")
+    df.write.mode("overwrite").parquet(f"{path}/df/batch={batch}")
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
-    """What :func:`save` and :func:`append` have written."""
-    posts, docs = spark.read.parquet(f"{path}/postings").drop("shard"), spark.read.parquet(f"{path}/docs")
+    """What :func:`save` and :func:`append` have written; document frequencies of the batches are added up."""
+    _finish(spark, path)
+    posts, docs = spark.read.parquet(f"{path}/postings").drop("shard", "batch"), spark.read.parquet(f"{path}/docs").drop("batch")
     n, mean = docs.agg(F.count("*"), F.avg("dl")).first()
-    return Index(posts, docs, spark.read.parquet(f"{path}/terms"), n, mean or 0.0)
+    if exists(spark, f"{path}/terms"):
+        terms = spark.read.parquet(f"{path}/terms")
+    else:
+        terms = spark.read.parquet(f"{path}/df").groupBy("term").agg(F.sum("df").alias("df")).withColumn("idf", idf(F.lit(float(n)), F.col("df")))
+    return Index(posts, docs, terms, n, mean or 0.0)
+
 
+def append(spark: SparkSession, path: str, tf: DataFrame, batch: str | None = None) -> None:
+    """Add documents as a batch of their own.
 
-def append(spark: SparkSession, path: str, tf: DataFrame) -> None:
-    """Add documents: new postings join the old ones of their shard, statistics are made anew."""
+    A batch that is written again under its name takes the place of what it left before, so a run that was broken off
+    can be repeated; earlier batches aren't read.
+    """
     tf = settle(tf)
-    sharded = postings(tf).withColumn("shard", F.pmod(F.xxhash64("term"), F.lit(SHARDS)).cast("int"))
-    sharded.repartition("shard").write.mode("append").partitionBy("shard").parquet(f"{path}/postings")
-    doc_lengths(tf).write.mode("append").parquet(f"{path}/docs")
-    n = spark.read.parquet(f"{path}/docs").count()
-    stats = settle(term_stats(spark.read.parquet(f"{path}/postings"), n))
-    stats.write.mode("overwrite").parquet(f"{path}/terms")
+    posts = settle(postings(tf))
+    delete(spark, f"{path}/terms")
+    _write(posts, doc_lengths(tf), posts.groupBy("term").agg(F.count("*").alias("df")), path, batch or uuid.uuid4().hex)
+    discard(posts)
+    discard(tf)
 
 
 def compact(spark: SparkSession, path: str, shard: int) -> None:
-    """Rewrite one shard's postings, sorted by term and without repeated rows."""
-    rows = settle(spark.read.parquet(f"{path}/postings/shard={shard}").groupBy("term", "doc_id").agg(F.max("tf").alias("tf")))
-    rows.coalesce(1).sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings/shard={shard}")
+    """Join one shard's postings of all batches, sorted by term and without repeated rows.
+
+    The new folder is complete before the old ones go; a run that breaks off in between is finished by the next one,
+    or when the index is opened.  Batches of a stream that may still be repeated must not be joined.
+    """
+    _finish(spark, path)
+    rows = spark.read.parquet(f"{path}/postings").where(F.col("shard") == shard).groupBy("term", "doc_id").agg(F.max("tf").alias("tf"))
+    rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/joined/shard={shard}")
+    _finish(spark, path)
+
+
+def _finish(spark: SparkSession, path: str) -> None:
+    """Put joined shards that are complete in place of their parts."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/joined/shard=*/_SUCCESS")
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for done in files.globStatus(at) or ():
+        folder = done.getPath().getParent()
+        for part in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/postings/batch=*/{folder.getName()}")) or ():
+            files.delete(part.getPath(), True)
+        rename(spark, folder.toString(), f"{path}/postings/batch=joined/{folder.getName()}")
 
 
 def drop_index(spark: SparkSession, path: str) -> None:
     """Delete an index."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    delete(spark, path)
 
 
 def scratch(spark: SparkSession) -> str:

@@ -320,6 +320,15 @@ def acc_at_k(spark, sf_dir):
     return found.select("k", F.round("origin", 6).alias("origin"), F.round("bm25", 6).alias("bm25"))
 
 
+@query("acc_at_k_model")
+def acc_at_k_model(spark, sf_dir):
+    shown = results(spark, sf_dir)
+    n = ranking.join_clicks(shown.select("uid", "query", "imp").distinct(), clicks(shown).groupBy("uid", "query").agg(F.count("*").alias("n"))).select("imp", "n")
+    rated = ranking.ranknet_score(inputs(labelled(spark, sf_dir)), ranking.RankNet(13)).withColumnsRenamed({"bm25": "_bm", "ranknet": "_net"})
+    found = ranking.accuracy_at(rated, {"origin": -F.col("rank"), "bm25": F.col("_bm"), "ranknet": F.round("_net", 6)}, n, (1, 3, 10, 50))
+    return found.select("k", *(F.round(c, 6).alias(c) for c in ("origin", "bm25", "ranknet")))
+
+
 @query("rerank_top10", f"WITH {RESULTS} SELECT imp, title, row_number() OVER (PARTITION BY imp ORDER BY round(bm25, 6) DESC, rank) AS place FROM results QUALIFY place <= 10")
 def rerank_top10(spark, sf_dir):
     return ranking.best_results(results(spark, sf_dir), "bm25").select("imp", "title", F.col("place").cast("long").alias("place"))

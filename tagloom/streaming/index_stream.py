@@ -13,16 +13,11 @@ from tagloom.operators.corpus import token_counts
 def follow(docs: DataFrame, path: str, checkpoint: str, tokenize=words, once: bool = True) -> StreamingQuery:
     """Add a stream of documents (doc_id, text) to the index at ``path``.
 
-    A batch that is run again after a failure finds its documents in the index and adds only the others.
+    Each batch of the stream is a batch of the index, so one that is run again after a failure replaces what it left.
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        tf = token_counts(batch, tokenize=tokenize)
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/docs")
-        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-            tf = tf.join(spark.read.parquet(f"{path}/docs").select("doc_id"), "doc_id", "left_anti")
-        index.append(spark, path, tf)
+        index.append(batch.sparkSession, path, token_counts(batch, tokenize=tokenize), f"stream{number}")
 
     writer = docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -50,3 +50,52 @@ def test_phrase_sql_ends():
     con = duckdb.connect()
     con.register("documents", pq.read_table(f"{DIR}/documents.parquet"))
     assert con.execute(f"SELECT count(*) FROM ({ORACLES['new_words']})").fetchone()[0] > 0
+
+
+def test_an_index_survives_broken_runs(spark, tmp_path):
+    """Repeated batches and compactions that broke off leave what one clean run leaves."""
+    from tagloom.operators import index
+
+    path = f"file://{tmp_path}/index"
+    rows = [(d, f"t{(d * k) % 17}", 1 + k % 3) for d in range(60) for k in range(1, 6)]
+    tf = spark.createDataFrame(rows, "doc_id long, term string, tf long").groupBy("doc_id", "term").agg(F.max("tf").alias("tf"))
+    index.append(spark, path, tf.where("doc_id < 30"), "1")
+    index.append(spark, path, tf.where("doc_id >= 30"), "2")
+    index.append(spark, path, tf.where("doc_id >= 30"), "2")  # run again
+    plain = index.build(tf)
+
+    def same():
+        got = index.open_index(spark, path)
+        assert (got.n_docs, got.avgdl) == (plain.n_docs, plain.avgdl)
+        for a, b in ((got.postings, plain.postings), (got.docs, plain.docs), (got.terms, plain.terms)):
+            assert sorted(map(tuple, a.select(*b.columns).collect())) == sorted(map(tuple, b.collect()))
+
+    same()
+    shard = spark.read.parquet(f"{path}/postings").first()["shard"]
+    joined = spark.read.parquet(f"{path}/postings").where(F.col("shard") == shard).groupBy("term", "doc_id").agg(F.max("tf").alias("tf"))
+    joined.write.parquet(f"{path}/joined/shard={shard}")  # broke off before the parts went
+    same()
+    index.compact(spark, path, shard)
+    same()
+    index.save(plain, path)
+    same()
+    index.drop_index(spark, path)
+    assert not (tmp_path / "index").exists()
+
+
+def test_accuracy_in_the_order_of_the_model(spark):
+    """The registered query against a plain count."""
+    from tagloom.operators import ranking
+    from tagloom.plans import retrieval
+
+    rows = ranking.ranknet_score(retrieval.inputs(retrieval.labelled(spark, DIR)), ranking.RankNet(13)).select("imp", "rank", "hit", "uid", "query", F.round("ranknet", 6).alias("score")).collect()
+    clicks = {(r.uid, r["query"]): r.n for r in retrieval.clicks(retrieval.results(spark, DIR)).groupBy("uid", "query").agg(F.count("*").alias("n")).collect()}
+    by_imp: dict = {}
+    for r in rows:
+        by_imp.setdefault((r.imp, r.uid, r["query"]), []).append((-r.score, r["rank"], r.hit))
+    for got in retrieval.acc_at_k_model(spark, DIR).collect():
+        found = total = 0
+        for (_, u, q), shown in by_imp.items():
+            if n := clicks.get((u, q)):
+                found, total = found + min(n, sum(h for *_, h in sorted(shown)[: got.k])), total + n
+        assert abs(got.ranknet - found / total) < 1e-5
