@@ -207,4 +207,4 @@ def encode_texts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
                 column.append(value)
         return [*(batch.column(c) for c in keep), *made]
 
-    return scan(only(docs, *dict.fromkeys((*keep, text))), rows, schema, lambda: Codec(path, leaf))
+    return scan(only(docs, *dict.fromkeys((*keep, text))), rows, schema, lambda: Codec(path, leaf), limit=1 << 20)

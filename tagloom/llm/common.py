@@ -30,17 +30,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
-def scan(df: DataFrame, rows: Callable[[pa.RecordBatch], list | dict | None], schema: str | T.StructType, setup: Callable | None = None) -> DataFrame:
+def scan(df: DataFrame, rows: Callable[[pa.RecordBatch], list | dict | None], schema: str | T.StructType, setup: Callable | None = None, limit: int = 8 << 20) -> DataFrame:
     """``mapInArrow`` where ``rows`` turns a batch into columns for ``schema``.
 
-    ``setup`` runs once per task; its result is the second argument of ``rows``.
+    ``setup`` runs once per task; its result is the second argument of ``rows``.  Batches come in slices of about
+    ``limit`` bytes, less where ``rows`` makes much of each text; the result as a whole must not depend on the slices.
     """
     fields = _arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit):
                 columns = rows(piece, state) if setup else rows(piece)
                 if columns is not None:
                     yield pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, t.type) for c, t in zip(columns, fields, strict=True)], schema=fields)
@@ -48,7 +49,7 @@ def scan(df: DataFrame, rows: Callable[[pa.RecordBatch], list | dict | None], sc
     return df.mapInArrow(run, schema)
 
 
-def pieces(batch: pa.RecordBatch, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``limit`` bytes, at least one row each, so that Python holds little at a time."""
     if batch.nbytes <= limit or batch.num_rows < 2:
         if batch.num_rows:

@@ -97,7 +97,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABEL
         counts = [features(t) for t in texts(batch)]
         return [batch.column("toxic"), [list(c) for c in counts], [list(c.values()) for c in counts]]
 
-    return materialize(scan(joined, rows, "toxic int, features array<binary>, counts array<int>"))
+    return materialize(scan(joined, rows, "toxic int, features array<binary>, counts array<int>", limit=1 << 20))
 
 
 def marks(sample: DataFrame, min_z: float = MIN_Z) -> dict[bytes, float]:
