@@ -99,3 +99,67 @@ def test_accuracy_in_the_order_of_the_model(spark):
             if n := clicks.get((u, q)):
                 found, total = found + min(n, sum(h for *_, h in sorted(shown)[: got.k])), total + n
         assert abs(got.ranknet - found / total) < 1e-5
+
+
+def shuffled(spark, run):
+    """Megabytes that ``run`` sends through exchanges."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def total():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        found = sc.statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    before = total()
+    run()
+    return (total() - before) / 1e6
+
+
+def test_packed_counts_of_chunks(spark):
+    """Chunks, information and entropy of packed places against the plain tables, with ends, copies and a common pair."""
+    import random
+
+    from tagloom.operators import phrases
+
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(40)] + ["EOS", "a b"]
+    rows = [[rng.choice(vocab[: rng.choice((3, 42))]) for _ in range(rng.randint(0, 9))] for _ in range(3000)] + [["x", "y", "z", "x", "y"]] * 500 + [None, ["solo"]]
+    lines = spark.createDataFrame([(r,) for r in rows], "tokens array<string>").repartition(5)
+    words, counted = phrases.unigrams(lines), phrases.follow(phrases.chunks(lines))
+    grams = phrases.ngrams(counted)
+    table = lambda df: {tuple(r[0]): tuple(round(x, 9) for x in r[1:]) for r in df.collect()}
+    assert table(phrases.rated(lines)) == table(grams)
+    assert table(phrases.rated(lines, pmi=True)) == table(phrases.chunk_pmi(grams, words))
+    got = phrases.rated(lines, entropy=True)
+    assert table(got.select("chunk", "entropy")) == table(phrases.right_entropy(counted)) and len(got.take(1))
+    assert table(phrases.rated(lines, pmi=True, entropy=True, min_freq=3, min_pmi=0.2, min_entropy=0.4)) == table(phrases.chunk_pmi(grams, words).where("n >= 3 and pmi >= 0.2").join(phrases.right_entropy(counted).where("entropy >= 0.4"), "chunk"))
+    assert phrases.rated(lines.limit(0), pmi=True, entropy=True).count() == 0
+
+
+def test_buckets_are_joined_on_the_way(spark, monkeypatch):
+    """A bucket with more places than are held at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tagloom.operators import ngrams
+
+    def body(k):
+        rng = np.random.default_rng(k)
+        token = pa.array([f"t{x}" for x in rng.permutation(9)])
+        return ngrams._packed(pa.record_batch([token, pa.array(np.ones(9, np.int64))], ["token", "n"]), pa.record_batch([*(pa.array(rng.integers(int(j < 2), 10, 400)) for j in range(5)), pa.array(np.full(400, k + 1))], ["0", "1", "2", "3", "4", "n"]))
+
+    def tree(limit):
+        monkeypatch.setattr(ngrams, "BUCKET", limit)
+        token, _, levels = ngrams._gathered(pa.py_buffer(body(k)) for k in range(8))
+        return token.to_pylist(), [[x.tolist() for x in level] for level in levels]
+
+    assert tree(1 << 20) == tree(100)
+
+
+@pytest.mark.parametrize("name,most", [("chunk_pmi", 3.0)])
+def test_places_are_exchanged_once(spark, name, most):
+    from tagloom.plans import mining  # noqa: F401
+    from tagloom.plans.registry import QUERIES
+
+    sent = shuffled(spark, lambda: QUERIES[name](spark, DIR).write.format("noop").mode("overwrite").save())
+    assert sent < most, sent
