@@ -156,7 +156,7 @@ def test_buckets_are_joined_on_the_way(spark, monkeypatch):
     assert tree(1 << 20) == tree(100)
 
 
-@pytest.mark.parametrize("name,most", [("chunk_pmi", 3.0), ("new_words", 3.0), ("right_entropy", 2.0)])
+@pytest.mark.parametrize("name,most", [("chunk_pmi", 3.0), ("new_words", 3.0), ("right_entropy", 2.0), ("ngram_counts", 2.0)])
 def test_places_are_exchanged_once(spark, name, most):
     from tagloom.plans import mining  # noqa: F401
     from tagloom.plans.registry import QUERIES
