@@ -163,3 +163,50 @@ def test_places_are_exchanged_once(spark, name, most):
 
     sent = shuffled(spark, lambda: QUERIES[name](spark, DIR).write.format("noop").mode("overwrite").save())
     assert sent < most, sent
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_are_counted_in_their_rows(spark):
+    """No exchange where ids differ; rows of one id are one document."""
+    from tagloom.functions import text as fn
+    from tagloom.operators.corpus import token_counts
+
+    docs = spark.createDataFrame([(1, "a b a"), (2, None), (3, ""), (4, "c " * 5000 + "a")], "doc_id long, text string")
+    counted = token_counts(docs, tokenize=fn.words)
+    assert "Exchange" not in plan(counted)
+    assert sorted(map(tuple, counted.collect())) == [(1, "a", 2), (1, "b", 1), (4, "a", 1), (4, "c", 5000)]
+    more = docs.union(spark.createDataFrame([(1, "b d"), (None, "x"), (None, "x y")], "doc_id long, text string"))
+    assert sorted(map(tuple, token_counts(more, tokenize=fn.words).collect()), key=str) == sorted([(1, "a", 2), (1, "b", 2), (1, "d", 1), (4, "a", 1), (4, "c", 5000), (None, "x", 2), (None, "y", 1)], key=str)
+
+
+def test_scores_meet_by_document_once(spark):
+    """Few asked terms are broadcast: postings are exchanged by document only."""
+    from tagloom.operators import index
+
+    tf = spark.range(20_000).select(F.pmod("id", F.lit(500)).alias("doc_id"), F.concat(F.lit("t"), (F.col("id") / 500).cast("int")).alias("term"), F.lit(1).cast("long").alias("tf"))
+    asked = spark.createDataFrame([(1, "t1", 1.0), (2, "t1", 2.0), (2, "t3", 1.0)], "qid int, term string, weight double")
+    got = index.score(index.build(tf), asked, cap=None)
+    assert "hashpartitioning(term" not in plan(got) and "hashpartitioning(qid" not in plan(got) and got.count() == 1000
+
+
+@pytest.mark.parametrize("name", ["doc_lengths", "tag_documents", "highlight", "dict_match", "doc_tag_counts"])
+def test_tokens_are_not_spread_again(spark, name):
+    """What a query derives from all tokens is written once, and lengths need no rows of tokens."""
+    from tagloom.plans import mining, retrieval  # noqa: F401
+    from tagloom.plans.registry import QUERIES
+
+    df = QUERIES[name](spark, DIR)
+    assert "Generate" not in plan(df) and "regexp_extract_all(lower(text" not in plan(df)
+
+
+def test_painting_of_many_spans(spark):
+    from tagloom.operators import search
+
+    docs = spark.createDataFrame([(1, "the é the-x "), (2, None), (3, "the " * 20_000), (4, "")], "doc_id long, text string")
+    marks = spark.createDataFrame([("the", 7), ("the-x", 9)], "surface string, level int")
+    got = {r.doc_id: (r.html, r.used) for r in search.highlight(docs, marks).collect()}
+    span = lambda t, w: f'<span style="color:rgb({w},0,0)">{t}</span>'
+    assert got == {1: (span("the", 7) + " é " + span("the-x", 9) + " ", ["the", "the-x"]), 2: (None, []), 3: ((span("the", 7) + " ") * 20_000, ["the"]), 4: ("", [])}
