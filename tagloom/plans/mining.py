@@ -21,17 +21,17 @@ UPPER = f"WITH {TOKENS}, {ENTRIES}, upper_entries AS (SELECT upper(replace(surfa
 
 @query("dict_match", f"{MATCH} SELECT doc_id, s AS start, e AS \"end\", surface FROM spans")
 def dict_match(spark, sf_dir):
-    return dictionary.match(documents(spark, sf_dir), entries(spark, sf_dir))
+    return dictionary.match(documents(spark, sf_dir), settle(entries(spark, sf_dir)))
 
 
 @query("doc_tag_counts", f"{MATCH} SELECT doc_id, surface, count(*) AS n FROM spans GROUP BY ALL")
 def doc_tag_counts(spark, sf_dir):
-    return dictionary.counts(documents(spark, sf_dir), entries(spark, sf_dir))
+    return dictionary.counts(documents(spark, sf_dir), settle(entries(spark, sf_dir)))
 
 
 @query("tag_documents", f"{UPPER} SELECT doc_id, string_agg(CAST(e + i + k - 1 AS VARCHAR) || ':' || tag, ',' ORDER BY e + i + k - 1, k DESC, tag) AS tags FROM spans JOIN upper_entries USING (surface) GROUP BY 1")
 def tag_documents(spark, sf_dir):
-    found = dictionary.tag(documents(spark, sf_dir), entries(spark, sf_dir))
+    found = dictionary.tag(documents(spark, sf_dir), settle(entries(spark, sf_dir)))
     return found.select("doc_id", F.array_join(F.transform("tags", lambda x: F.concat(x["end_index"].cast("string"), F.lit(":"), x["tag"])), ",").alias("tags"))
 
 
