@@ -1,6 +1,7 @@
 """Pieces whose faults show only on larger tables or in another form of the plan, against plain versions."""
 
 import duckdb
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -210,3 +211,38 @@ def test_painting_of_many_spans(spark):
     got = {r.doc_id: (r.html, r.used) for r in search.highlight(docs, marks).collect()}
     span = lambda t, w: f'<span style="color:rgb({w},0,0)">{t}</span>'
     assert got == {1: (span("the", 7) + " é " + span("the-x", 9) + " ", ["the", "the-x"]), 2: (None, []), 3: ((span("the", 7) + " ") * 20_000, ["the"]), 4: ("", [])}
+
+
+def test_scores_by_document_agree_with_joined_ones(spark, monkeypatch):
+    """Both ways of scoring give the same; a task gives no more than the best of its documents, ties and null ids included."""
+    from tagloom.operators import index
+
+    monkeypatch.setattr(index, "PAIRS", 64)
+    tf = spark.range(4000).select((F.col("id") / 8).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.pmod(F.xxhash64("id"), F.lit(23))).alias("term"), (F.pmod("id", F.lit(3)) + 1).alias("tf"))
+    idx = index.build(tf.groupBy("doc_id", "term").agg(F.max("tf").alias("tf")))
+    asked = spark.createDataFrame([(1, "t1", 1.0), (2, "t1", 2.0), (2, "t3", 1.0), (None, "t5", 0.0), (None, "t6", -1.0), (3, "no", 1.0)], "qid int, term string, weight double")
+    table = lambda df: {(r.qid, r.doc_id): round(r.score, 9) for r in df.collect()}
+    for cap in (None, 7):
+        assert table(index.score(idx, asked, cap=cap)) == table(index.score(idx, asked, cap=cap, held=0))
+    some = index.score(idx, asked, cap=None, best=3)
+    ranked = lambda df: sorted(((r.qid, r["rank"], r.doc_id) for r in index.top(df, 3).collect()), key=str)
+    assert ranked(some) == ranked(index.score(idx, asked, cap=None, held=0)) and some.count() <= 9 * some.rdd.getNumPartitions()
+    assert index.score(idx, asked.where("qid = 3"), cap=None, best=3).count() == 0
+    assert index._rounded(np.array([1.0000005, -0.0000005, 2.0000015])).tolist() == [1.000001, -0.000001, 2.000002]
+
+
+@pytest.mark.parametrize("name", ["best_paths", "render_results"])
+def test_few_hits_go_to_the_index(spark, name):
+    """Answers are written, so neither the index nor the documents are exchanged to meet them."""
+    from tagloom.plans import retrieval  # noqa: F401
+    from tagloom.plans.registry import QUERIES
+
+    assert "hashpartitioning(doc_id" not in plan(QUERIES[name](spark, DIR))
+
+
+def test_neighbours_are_counted_in_batches(spark):
+    from tagloom.operators.corpus import neighbours
+
+    rows = spark.createDataFrame([(["a", "b", "x", "a", "b"],), (None,), ([],), (["b"],), (["a", "a", None, "b", "a"],)], "w array<string>").coalesce(1)
+    assert sorted(map(tuple, neighbours(rows, ["b", "a"]).collect())) == [("a", "a", 1), ("a", "b", 2), ("b", "a", 1)]
+    assert neighbours(rows, []).count() == 0
