@@ -246,3 +246,37 @@ def test_neighbours_are_counted_in_batches(spark):
     rows = spark.createDataFrame([(["a", "b", "x", "a", "b"],), (None,), ([],), (["b"],), (["a", "a", None, "b", "a"],)], "w array<string>").coalesce(1)
     assert sorted(map(tuple, neighbours(rows, ["b", "a"]).collect())) == [("a", "a", 1), ("a", "b", 2), ("b", "a", 1)]
     assert neighbours(rows, []).count() == 0
+
+
+def test_phrases_are_rated_where_pairs_meet(spark):
+    """Places are exchanged packed, and sums over overlapping pairs agree with a plain count."""
+    import math
+    import random
+    from collections import Counter, defaultdict
+
+    from tagloom.operators import phrases
+    from tagloom.plans import mining  # noqa: F401
+    from tagloom.plans.registry import QUERIES
+
+    sent = shuffled(spark, lambda: QUERIES["phrase_topk"](spark, DIR).write.format("noop").mode("overwrite").save())
+    assert sent < 6, sent
+    rng = random.Random(7)
+    rows = [[rng.choice("abcdefghijklmnopq"[: rng.choice((4, 17))]) for _ in range(rng.randint(0, 6))] for _ in range(400)] + [["x", "y"]] * 5 + [["b", "x", "y"]] * 2 + [["x", "y", "c"], ["x", "y", "c"], ["x", "d"]] + [["b", "x", "e"]]
+    one, two, three = Counter(), Counter(), Counter()
+    for t in (["^", *r, "$"] for r in rows):
+        one.update(t), two.update(zip(t, t[1:])), three.update(zip(t, t[1:], t[2:]))
+    h, sums = lambda p: -p * math.log(p), defaultdict(lambda: [0.0] * 4)
+    for (x, y, z), n in three.items():
+        sums[y, z][0] += h(n / two[y, z])
+        sums[y, z][1] += h(n / two[x, y])
+        sums[x, y][2] += h(n / two[x, y])
+        sums[x, y][3] += h(n / two[y, z])
+    wanted = {}
+    for (a, b), n in two.items():
+        pmi = math.log(n) - math.log(sum(two.values())) - math.log(one[a]) - math.log(one[b]) + 2 * math.log(sum(one.values()))
+        if max(one[a], one[b]) > 3 and pmi >= 2:
+            hl, hlr, hr, hrl = sums[a, b]
+            wanted[a + b] = (pmi - min(hlr, hrl) + min(hl, hr)) * n
+    got = {r.phrase: r.score for r in phrases.top_phrases(spark.createDataFrame([(r,) for r in rows] + [(None,)], "tokens array<string>").repartition(3)).collect()}
+    assert len(wanted) > 1 and got.keys() == wanted.keys() and all(abs(got[k] - wanted[k]) < 1e-9 for k in got)
+    assert phrases.top_phrases(spark.createDataFrame([], "tokens array<string>")).count() == 0
