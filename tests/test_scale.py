@@ -280,3 +280,17 @@ def test_phrases_are_rated_where_pairs_meet(spark):
     got = {r.phrase: r.score for r in phrases.top_phrases(spark.createDataFrame([(r,) for r in rows] + [(None,)], "tokens array<string>").repartition(3)).collect()}
     assert len(wanted) > 1 and got.keys() == wanted.keys() and all(abs(got[k] - wanted[k]) < 1e-9 for k in got)
     assert phrases.top_phrases(spark.createDataFrame([], "tokens array<string>")).count() == 0
+
+
+def test_tasks_follow_the_rows(spark, tmp_path, monkeypatch):
+    """Rows of results and postings are dealt to as many tasks as hold them, whatever the number of shuffle partitions."""
+    from tagloom.operators import index
+    from tagloom.plans import fixtures
+
+    monkeypatch.setattr(fixtures, "TASK_ROWS", 500)
+    tasks = fixtures.row_tasks(spark, DIR)
+    assert tasks > 10 and f", {tasks}), REPARTITION_BY_NUM" in plan(fixtures.results(spark, DIR))
+    monkeypatch.setattr(index, "TASK_ROWS", 500)
+    tf = spark.range(10_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("term"), F.lit(1).cast("long").alias("tf"))  # one term, one shard
+    index.append(spark, f"file://{tmp_path}/index", tf, written=True)
+    assert len(list((tmp_path / "index/postings").rglob("part-*.parquet"))) > 10 and index.open_index(spark, f"file://{tmp_path}/index").postings.count() == 10_000
