@@ -294,3 +294,30 @@ def test_tasks_follow_the_rows(spark, tmp_path, monkeypatch):
     tf = spark.range(10_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("term"), F.lit(1).cast("long").alias("tf"))  # one term, one shard
     index.append(spark, f"file://{tmp_path}/index", tf, written=True)
     assert len(list((tmp_path / "index/postings").rglob("part-*.parquet"))) > 10 and index.open_index(spark, f"file://{tmp_path}/index").postings.count() == 10_000
+
+
+def test_clicks_of_a_user_meet_results_at_once(spark):
+    """Both ways of labelling agree, blanks, nulls and doubled clicks included, and impressions of two users count as before."""
+    import random
+
+    from tagloom.operators import ranking
+    from tagloom.plans import retrieval  # noqa: F401
+    from tagloom.plans.registry import QUERIES
+
+    rng = random.Random(3)
+    some = lambda *xs: rng.choice(xs)
+    row = lambda: (some("a", "b", None), some("q", "r", None), some("T", " t", "u\u2003", "v", " ", "", None), some("x", "X ", "y", "\u00a0", None))
+    shown = spark.createDataFrame([(*row(), some(1, 2, 3, 4, None), i, rng.random()) for i in range(400)], "uid string, query string, title string, url string, imp long, rank long, s double")
+    clicked = spark.createDataFrame([row() for _ in range(9)] * 2, "uid string, query string, title string, url string")
+    table = lambda df: sorted(map(str, df.collect()))
+    one = ranking.label(shown, clicked, 3)
+    assert table(one) == table(ranking.label(shown, clicked, 3, most=0)) == table(ranking.label(shown, clicked)) and 0 < one.where("hit").count() < 400
+    n = ranking.join_clicks(shown.select("uid", "query", "imp").distinct(), clicked.groupBy("uid", "query").agg(F.count("*").alias("n"))).select("imp", "n")
+    orders = {"origin": -F.col("rank"), "s": F.col("s")}
+    got = ranking.share_found(ranking.placed(one, orders), tuple(orders), clicked, (1, 3, 200), 3)
+    assert table(got) == table(ranking.accuracy_at(one, orders, n, (1, 3, 200))) and got.count() == 3
+    assert ranking.share_found(ranking.placed(one, orders).limit(0), tuple(orders), clicked, (1,), 3).count() == 0
+    x = np.random.default_rng(0).random((700, 13)) * 50
+    assert np.allclose(ranking.RankNet(13).score(x), ranking.RankNet(13).forward(x)[0], rtol=0, atol=1e-12)
+    sent = shuffled(spark, lambda: QUERIES["acc_at_k_model"](spark, DIR).write.format("noop").mode("overwrite").save())
+    assert sent < 0.8, sent
