@@ -321,3 +321,35 @@ def test_clicks_of_a_user_meet_results_at_once(spark):
     assert np.allclose(ranking.RankNet(13).score(x), ranking.RankNet(13).forward(x)[0], rtol=0, atol=1e-12)
     sent = shuffled(spark, lambda: QUERIES["acc_at_k_model"](spark, DIR).write.format("noop").mode("overwrite").save())
     assert sent < 0.8, sent
+
+
+def test_known_queries_need_no_exchange_of_postings(spark, monkeypatch):
+    """An index for asked terms gives what that of all terms gives, with shared ids, nulls and empty documents."""
+    from tagloom.functions import text as fn
+    from tagloom.operators import corpus, index
+    from tagloom.plans import retrieval  # noqa: F401
+    from tagloom.plans.registry import QUERIES
+
+    monkeypatch.setattr(corpus, "BLOCK_TOKENS", 8)
+    rows = [(i, f"t{i % 7} t{i % 3} x t{i % 7}" + " y" * (i % 5)) for i in range(90)] + [(3, "t1 t2"), (3, "z"), (5, None), (200, None), (201, ""), (202, "z z"), (None, "t1 t2"), (None, "t1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(1, "t", 1.0), (2, "x", 2.0), (2, "z", 1.0), (3, "nowhere", 1.0), (3, "y", 0.5)], "qid int, term string, weight double")
+    table = lambda df: sorted(((r.qid, r.doc_id, round(r.score, 9)) for r in df.collect()), key=str)
+    for some in (docs, docs.where("doc_id > 5")):
+        whole = index.build(corpus.token_counts(some, tokenize=fn.words))
+        few = index.build_asked(corpus.asked_counts(some, ["z", "x", "nowhere", "t", "y"], tokenize=fn.words))
+        assert (few.n_docs, few.avgdl) == (whole.n_docs, whole.avgdl) and few.terms.count() == 4
+        wanted = table(index.score(whole, asked, cap=None))
+        assert len(wanted) > 80 and wanted == table(index.score(few, asked, cap=None)) == table(index.score(few, asked, cap=None, held=0)) == table(index.score(few, asked, cap=1000))
+    none = index.build_asked(corpus.asked_counts(docs, [], tokenize=fn.words))
+    assert none.n_docs == whole_count(docs) and none.postings.count() == 0
+    q = asked.where("qid < 3")
+    assert table(index.score(retrieval.asked_index(spark, DIR, q), q, cap=None)) == table(index.score(retrieval.asked_index(spark, DIR, q, held=1), q, cap=None))
+    for name in ("bm25_weighted_topk", "bm25_topk"):
+        assert "hashpartitioning(doc_id" not in plan(QUERIES[name](spark, DIR))
+
+
+def whole_count(docs):
+    from tagloom.functions import text as fn
+
+    return docs.where(F.size(fn.words("text")) > 0).select("doc_id").distinct().count()
